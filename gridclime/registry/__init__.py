@@ -1 +1,9 @@
 """Every registered query with its equivalent SQL."""
+
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    from . import load_queries, result_queries
+
+    return {**load_queries.QUERIES, **result_queries.QUERIES}
