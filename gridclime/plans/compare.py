@@ -483,8 +483,8 @@ def tx_edges(transmission: DataFrame, zones: DataFrame, centroids: DataFrame) ->
     }
     lines = transmission.withColumns(
         {
-            "Load_zone1": ends[0].try_cast("int"),
-            "Load_zone2": F.try_element_at(ends, F.lit(2)).try_cast("int"),
+            "zone_id1": ends[0].try_cast("int"),
+            "zone_id2": F.try_element_at(ends, F.lit(2)).try_cast("int"),
             **gigawatts,
         }
     )
@@ -498,8 +498,8 @@ def tx_edges(transmission: DataFrame, zones: DataFrame, centroids: DataFrame) ->
             F.col("Y").alias(f"Y{n}"),
         )
 
-    joined = match(match(lines, end(1), {"Load_zone1": "zone_dbid"}), end(2), {"Load_zone2": "zone_dbid"})
-    line = ["TRANSMISSION_LINE", "trans_lz1", "trans_lz2", "Load_zone1", "Load_zone2", "LOAD_ZONE1", "LOAD_ZONE2"]
+    joined = match(match(lines, end(1), {"zone_id1": "zone_dbid"}), end(2), {"zone_id2": "zone_dbid"})
+    line = ["TRANSMISSION_LINE", "trans_lz1", "trans_lz2", "zone_id1", "zone_id2", "LOAD_ZONE1", "LOAD_ZONE2"]
     by = [c for c in ("Scenario",) if c in transmission.columns] + line
     return with_total(joined, "BuildTx_GW", by, "total_new_BuildTx_GW")
 

@@ -428,6 +428,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
             "l_extendedprice",
             "l_discount",
             "l_tax",
+            (F.col("l_quantity") + F.col("l_extendedprice") / 99991).alias("amount"),
         )
     )
 
@@ -440,7 +441,7 @@ def gen_cap(spark: SparkSession, sf: str) -> DataFrame:
         "gen_load_zone",
         "gen_tech",
         "gen_energy_source",
-        F.col("l_quantity").alias("GenCapacity"),
+        F.col("amount").alias("GenCapacity"),
     )
 
 
@@ -452,7 +453,7 @@ def builds(spark: SparkSession, sf: str) -> DataFrame:
             F.col("GENERATION_PROJECT").alias("GEN_BLD_YRS_1"),
             F.year("l_shipdate").alias("GEN_BLD_YRS_2"),
         )
-        .agg(F.sum("l_quantity").alias("BuildGen"))
+        .agg(F.sum("amount").alias("BuildGen"))
     )
 
 
@@ -491,10 +492,10 @@ def load_balance(spark: SparkSession, sf: str) -> DataFrame:
             F.date_format(ship_hour(), "yyyyMMddHH").alias("timestamp"),
         )
         .agg(
-            (-F.sum("l_quantity")).alias("zone_demand_mw"),
+            (-F.sum("amount")).alias("zone_demand_mw"),
             (F.sum("l_extendedprice") / 10000).alias("ZoneTotalCentralDispatch"),
-            F.sum("l_tax").alias("TXPowerNet"),
-            (F.sum("l_discount") + 1).alias("StorageNetCharge"),
+            (F.sum("l_tax") / 7 + 1).alias("TXPowerNet"),
+            (F.sum("l_discount") / 7 + 1).alias("StorageNetCharge"),
         )
     )
 
@@ -553,7 +554,10 @@ def dispatch(spark: SparkSession, sf: str) -> DataFrame:
             F.date_format(ship_hour(), "yyyyMMddHH").alias("timestamp"),
             F.when(F.dayofmonth("l_shipdate") == 15, 1.0).otherwise(29.0).alias("tp_weight_in_year_hrs"),
         )
-        .agg(F.sum("l_quantity").alias("DispatchGen_MW"), F.sum("l_discount").alias("Curtailment_MW"))
+        .agg(
+            F.sum("amount").alias("DispatchGen_MW"),
+            (F.sum("l_discount") + F.sum("amount") / 997).alias("Curtailment_MW"),
+        )
     )
 
 
@@ -645,10 +649,13 @@ def catchment_data(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catchment_bands(spark: SparkSession, sf: str) -> DataFrame:
-    keys = ["Scenario", "Catchment_num", "Catchment_name", "State"]
-    areas = catchment_lines(spark, sf).groupBy(*keys, "Elevation").agg((F.count(F.lit(1)) * 100.0).alias("area_ha"))
+    """Areas from the number of lines per catchment and band, the same in every scenario."""
+    keys = ["Catchment_num", "Catchment_name", "State"]
+    lines = catchment_lines(spark, sf)
+    areas = lines.groupBy(*keys, "Elevation").agg((F.count(F.lit(1)) * 100.0).alias("area_ha"))
     totals = areas.groupBy(*keys).agg((F.sum("area_ha") * 0.01).alias("total_catchment_area_km2"))
-    return areas.join(totals, keys)
+    scenarios = lines.select("Scenario", *keys).distinct()
+    return areas.join(totals, keys).join(scenarios, keys)
 
 
 PART_WORD = "split_part(p_name, ' ', 2)"
@@ -815,20 +822,20 @@ SQL = {
           WHEN 'gear' THEN 'Biomass' WHEN 'gizmo' THEN 'Oil' WHEN 'plate' THEN 'Waste Heat' WHEN 'ring' THEN 'Water' WHEN 'rod' THEN 'Wind'
           WHEN 'widget' THEN 'Solar' END END AS source,
         l_partkey, p_size, l_shipdate, year(l_shipdate) AS y, strftime(l_shipdate + l_linenumber * INTERVAL 1 HOUR, '%Y%m%d%H') AS stamp,
-        l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax
+        l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_quantity + l_extendedprice / 99991 AS amount
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
         JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
-    "cap_zone": """SELECT Scenario, y AS PERIOD, gen_load_zone, source, sum(l_quantity) AS mw FROM results GROUP BY 1, 2, 3, 4""",
+    "cap_zone": """SELECT Scenario, y AS PERIOD, gen_load_zone, source, sum(amount) AS mw FROM results GROUP BY 1, 2, 3, 4""",
     "cap_delta": """SELECT a.Scenario, '5-LOW' AS Baseline_Scenario, a.PERIOD, a.gen_load_zone, a.source, a.mw, b.mw AS base_mw
         FROM cap_zone a LEFT JOIN cap_zone b ON b.Scenario = '5-LOW' AND a.PERIOD = b.PERIOD AND a.gen_load_zone = b.gen_load_zone AND a.source = b.source
         WHERE a.Scenario <> '5-LOW'""",
     "build_zone": """SELECT Scenario, CASE WHEN p_size < 17 THEN 'CAN_BC' WHEN p_size < 34 THEN 'CA_SCE' ELSE 'WA_E' END AS zone,
         CASE WHEN y BETWEEN 1995 AND 1997 THEN '1996' WHEN y BETWEEN 1998 AND 2000 THEN '1999' WHEN y > 2000 THEN '2055' ELSE 'earlier' END AS PERIOD,
-        source, sum(l_quantity) AS mw FROM results GROUP BY 1, 2, 3, 4""",
+        source, sum(amount) AS mw FROM results GROUP BY 1, 2, 3, 4""",
     "build_delta": """SELECT a.Scenario, a.zone, a.PERIOD, a.source, a.mw, b.mw AS base_mw FROM build_zone a LEFT JOIN build_zone b
         ON b.Scenario = '5-LOW' AND a.zone = b.zone AND a.PERIOD = b.PERIOD AND a.source = b.source WHERE a.Scenario <> '5-LOW'""",
     "balance": """SELECT Scenario, gen_load_zone AS load_zone, stamp, CAST(substr(stamp, 1, 4) AS INTEGER) AS Year, CAST(substr(stamp, 5, 2) AS INTEGER) AS Month,
-        -sum(l_quantity) AS demand, sum(l_extendedprice) / 10000 AS central, sum(l_tax) AS tx, sum(l_discount) + 1 AS storage
+        -sum(amount) AS demand, sum(l_extendedprice) / 10000 AS central, sum(l_tax) / 7 + 1 AS tx, sum(l_discount) / 7 + 1 AS storage
         FROM results GROUP BY 1, 2, 3""",
     "loads_year": """SELECT b.Scenario, b.load_zone, b.Year, s.ts_period, sum(demand * scale / 5 * 2) / 1000 AS demand, sum(central * scale / 5 * 2) / 1000 AS central,
         sum(tx * scale / 5 * 2) / 1000 AS tx, sum(storage * scale / 5 * 2) / 1000 AS storage FROM balance b JOIN points p ON b.stamp = p.timestamp
@@ -851,7 +858,7 @@ SQL = {
     "system_month": """SELECT Scenario, Month, Year, ts_period, CASE WHEN count(demand_b) = count(*) THEN -sum(demand_b) END AS base, -sum(demand) AS demand
         FROM month_delta GROUP BY 1, 2, 3, 4""",
     "hour_zone": """SELECT Scenario, gen_load_zone, source, y AS period, stamp, CASE WHEN day(l_shipdate) = 15 THEN 'peak_day' ELSE 'median_day' END AS day_type,
-        CASE WHEN day(l_shipdate) = 15 THEN 1 ELSE 29 END AS w, sum(l_quantity) AS mw, CASE WHEN source IN ('Solar', 'Wind') THEN sum(l_discount) ELSE 0 END AS curt
+        CASE WHEN day(l_shipdate) = 15 THEN 1 ELSE 29 END AS w, sum(amount) AS mw, CASE WHEN source IN ('Solar', 'Wind') THEN sum(l_discount) + sum(amount) / 997 ELSE 0 END AS curt
         FROM results GROUP BY 1, 2, 3, 4, 5, 6, 7""",
     "hour_system": """SELECT Scenario, source, period, stamp, day_type, w, CAST(substr(stamp, 5, 2) AS INTEGER) AS Month,
         hour((strptime(stamp, '%Y%m%d%H') AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles') + 1 AS Hour_local,
@@ -883,8 +890,8 @@ SQL = {
         JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "catch_month": """SELECT c.Scenario, c.num, c.name, c.state, c.region, y, m, avg(t) AS tavg, sum(mm * 1e-6 * area * 0.01) AS km3, max(total) AS km2 FROM (
           SELECT Scenario, num, name, state, region, band, y, m, avg(l_discount) * 100 AS t, sum(l_quantity) AS mm FROM catch GROUP BY 1, 2, 3, 4, 5, 6, 7, 8) c
-        JOIN (SELECT Scenario, num, band, count(*) * 100.0 AS area FROM catch GROUP BY 1, 2, 3) b ON b.Scenario = c.Scenario AND b.num = c.num AND b.band = c.band
-        JOIN (SELECT Scenario, num, count(*) * 100.0 * 0.01 AS total FROM catch GROUP BY 1, 2) k ON k.Scenario = c.Scenario AND k.num = c.num
+        JOIN (SELECT num, band, count(*) * 100.0 AS area FROM catch GROUP BY 1, 2) b ON b.num = c.num AND b.band = c.band
+        JOIN (SELECT num, count(*) * 100.0 * 0.01 AS total FROM catch GROUP BY 1) k ON k.num = c.num
         WHERE CASE WHEN c.Scenario = 'Hist' THEN y BETWEEN 1995 AND 1997 ELSE y BETWEEN 1995 AND 2001 END GROUP BY 1, 2, 3, 4, 5, 6, 7""",
     "catch_pos": """SELECT *, row_number() OVER (PARTITION BY Scenario, num ORDER BY y, m) AS p, count(*) OVER (PARTITION BY Scenario, num) AS n FROM catch_month""",
     "catch_avg": """SELECT a.Scenario, a.num, a.name, a.state, a.region, a.y, a.m, a.km2, a.tavg, a.km3, avg(b.tavg) AS avg_t, avg(b.km3) AS avg_km3

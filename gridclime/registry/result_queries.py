@@ -105,16 +105,16 @@ def q_annual_loads(spark, sf):
 
 def q_annual_dispatch(spark, sf):
     keys = ["Scenario", "gen_load_zone", "period", "gen_energy_source"]
-    values = {"Energy_GWh_typical_yr": 4, "VariableCost_per_yr": 4, "Total_annual_GWh": 4}
+    values = {"Energy_GWh_typical_yr": 5, "VariableCost_per_yr": 5, "Total_annual_GWh": 5}
     return shape(_dispatch(spark, sf)["zone"], keys, values)
 
 
 def q_annual_dispatch_system_delta(spark, sf):
     keys = ["Scenario", "period", "gen_energy_source"]
     values = {
-        "Energy_GWh_typical_yr": 4,
-        "Energy_GWh_typical_yr_baseline": 4,
-        "Delta_AnnualGen_GWh": 4,
+        "Energy_GWh_typical_yr": 5,
+        "Energy_GWh_typical_yr_baseline": 5,
+        "Delta_AnnualGen_GWh": 5,
         "AnnualGen_perc_change_from_baseline": 3,
     }
     return shape(_dispatch(spark, sf)["system_delta"], keys, values)
@@ -123,15 +123,15 @@ def q_annual_dispatch_system_delta(spark, sf):
 def q_gen_load_wide(spark, sf):
     wide = _snake(_dispatch(spark, sf)["gen_load_wide"])
     columns = recode.ENERGY_SOURCES + co.LOAD_CATEGORIES
-    return shape(wide, ["Scenario", "ts_period"], {c.replace(" ", "_"): 4 for c in columns})
+    return shape(wide, ["Scenario", "ts_period"], {c.replace(" ", "_"): 5 for c in columns})
 
 
 def q_gen_load_delta(spark, sf):
     keys = ["Scenario", "ts_period", "energy_category"]
     values = {
-        "Energy_GWh_typical_yr": 4,
-        "Energy_GWh_typical_yr_baseline": 4,
-        "Delta_AnnualGen_GWh": 4,
+        "Energy_GWh_typical_yr": 5,
+        "Energy_GWh_typical_yr_baseline": 5,
+        "Delta_AnnualGen_GWh": 5,
         "AnnualGen_perc_change_from_baseline": 3,
     }
     return shape(_dispatch(spark, sf)["gen_load_delta"], keys, values)
@@ -162,13 +162,13 @@ def _family_deltas(spark: SparkSession, sf: str, zones: bool = False) -> DataFra
 def q_load_hydro_disaggregation(spark, sf):
     parts = co.load_hydro_disaggregation(_family_deltas(spark, sf, zones=True))
     keys = ["Scenario", "ts_period", "load_zone", "energy_category_disagg", "climate_impacts_included"]
-    return shape(parts, keys, {"Delta_AnnualGen_GWh": 4, "AnnualGen_perc_change_from_baseline": 3})
+    return shape(parts, keys, {"Delta_AnnualGen_GWh": 5, "AnnualGen_perc_change_from_baseline": 3})
 
 
 def q_imbalance_ranking(spark, sf):
     ranked = co.imbalance_ranking(co.load_hydro_disaggregation(_family_deltas(spark, sf)), 1998)
     keys = ["Scenario", "ts_period", "energy_category_disagg", "scenario_rank"]
-    return shape(ranked, keys, {"Adj_Delta_AnnualGen_GWh": 4, "TotalImbalance_GWh": 4})
+    return shape(ranked, keys, {"Adj_Delta_AnnualGen_GWh": 5, "TotalImbalance_GWh": 5})
 
 
 _FAMILY_SQL = """SELECT CASE o_orderstatus WHEN 'F' THEN 'Hydropower and Water Load Scenarios' WHEN 'O' THEN 'Cooling Load Scenarios'
@@ -359,7 +359,7 @@ def q_tx_delta(spark, sf):
 
 def q_tx_edges(spark, sf):
     edges = co.tx_edges(i.transmission(spark, sf), i.nation_zones(spark, sf), i.nation_centroids(spark, sf))
-    keys = ["Scenario", "TRANSMISSION_LINE", "PERIOD", "Load_zone1", "Load_zone2", "LOAD_ZONE1", "LOAD_ZONE2", "Y1", "Y2"]
+    keys = ["Scenario", "TRANSMISSION_LINE", "PERIOD", "zone_id1", "zone_id2", "LOAD_ZONE1", "LOAD_ZONE2", "Y1", "Y2"]
     values = {"X1": 4, "X2": 4, "nameplate_GW": 5, "BuildTx_GW": 5, "total_new_BuildTx_GW": 5}
     return shape(edges, keys, values)
 
@@ -694,8 +694,8 @@ _SEASON_KEYS = "Scenario, Season, period, Hour_local, day_type, source AS gen_en
 QUERIES = {
     "capacity_online_zone": (
         q_capacity_online_zone,
-        with_sql("cap_zone", """SELECT Scenario, PERIOD, gen_load_zone, source AS gen_energy_source, mw AS GenCapacityCumulative_MW,
-            sum(mw) OVER (PARTITION BY Scenario, gen_load_zone, PERIOD) AS Total_Lz_GenCap_MW FROM cap_zone"""),
+        with_sql("cap_zone", """SELECT Scenario, PERIOD, gen_load_zone, source AS gen_energy_source, round(mw, 2) AS GenCapacityCumulative_MW,
+            round(sum(mw) OVER (PARTITION BY Scenario, gen_load_zone, PERIOD), 2) AS Total_Lz_GenCap_MW FROM cap_zone"""),
     ),
     "capacity_online_wide": (
         q_capacity_online_wide,
@@ -703,23 +703,23 @@ QUERIES = {
     ),
     "capacity_online_delta": (
         q_capacity_online_delta,
-        with_sql("cap_delta", """SELECT Scenario, Baseline_Scenario, PERIOD, gen_load_zone, source AS gen_energy_source, mw AS GenCapacityCumulative_MW,
-            base_mw AS GenCapacityCumulative_MW_baseline, mw - base_mw AS Delta_GenCapacity_MW, round((mw - base_mw) / base_mw, 3) + 0.0 AS GenCap_perc_change_from_baseline FROM cap_delta"""),
+        with_sql("cap_delta", """SELECT Scenario, Baseline_Scenario, PERIOD, gen_load_zone, source AS gen_energy_source, round(mw, 2) AS GenCapacityCumulative_MW,
+            round(base_mw, 2) AS GenCapacityCumulative_MW_baseline, round(mw - base_mw, 2) AS Delta_GenCapacity_MW, round((mw - base_mw) / base_mw, 3) + 0.0 AS GenCap_perc_change_from_baseline FROM cap_delta"""),
     ),
     "capacity_online_system_delta": (
         q_capacity_online_system_delta,
-        with_sql("cap_delta", """SELECT Scenario, Baseline_Scenario, PERIOD, source AS gen_energy_source, sum(mw) AS GenCapacityOnline_MW, sum(base_mw) AS GenCapacityOnline_MW_baseline,
-            sum(mw) - sum(base_mw) AS Delta_GenCapacity_MW, round((sum(mw) - sum(base_mw)) / sum(base_mw), 3) + 0.0 AS GenCap_perc_change_from_baseline FROM cap_delta GROUP BY 1, 2, 3, 4"""),
+        with_sql("cap_delta", """SELECT Scenario, Baseline_Scenario, PERIOD, source AS gen_energy_source, round(sum(mw), 2) AS GenCapacityOnline_MW, round(sum(base_mw), 2) AS GenCapacityOnline_MW_baseline,
+            round(sum(mw) - sum(base_mw), 2) AS Delta_GenCapacity_MW, round((sum(mw) - sum(base_mw)) / sum(base_mw), 3) + 0.0 AS GenCap_perc_change_from_baseline FROM cap_delta GROUP BY 1, 2, 3, 4"""),
     ),
     "capacity_built_delta": (
         q_capacity_built_delta,
-        with_sql("build_delta", """SELECT Scenario, PERIOD, zone AS gen_load_zone, source AS gen_energy_source, mw AS BuildGen_MW, base_mw AS BuildGen_MW_baseline,
-            mw - base_mw AS Delta_BuildGen_MW, round((mw - base_mw) / base_mw, 3) + 0.0 AS BuildGen_perc_change_from_baseline FROM build_delta"""),
+        with_sql("build_delta", """SELECT Scenario, PERIOD, zone AS gen_load_zone, source AS gen_energy_source, round(mw, 2) AS BuildGen_MW, round(base_mw, 2) AS BuildGen_MW_baseline,
+            round(mw - base_mw, 2) AS Delta_BuildGen_MW, round((mw - base_mw) / base_mw, 3) + 0.0 AS BuildGen_perc_change_from_baseline FROM build_delta"""),
     ),
     "capacity_built_cumulative": (
         q_capacity_built_cumulative,
-        with_sql("build_delta", """SELECT Scenario, gen_energy_source, dense_rank() OVER (ORDER BY t, Scenario) AS scenario_rank, d AS CumulativeDelta_BuildGen_MW,
-            mw AS CumulativeBuildGen_MW, b AS CumulativeBaselineBuildGen_MW, t AS TotalCumulativeDelta_BuildGen_MW FROM (
+        with_sql("build_delta", """SELECT Scenario, gen_energy_source, dense_rank() OVER (ORDER BY t, Scenario) AS scenario_rank, round(d, 2) AS CumulativeDelta_BuildGen_MW,
+            round(mw, 2) AS CumulativeBuildGen_MW, round(b, 2) AS CumulativeBaselineBuildGen_MW, round(t, 2) AS TotalCumulativeDelta_BuildGen_MW FROM (
               SELECT *, sum(d) OVER (PARTITION BY Scenario) AS t FROM (SELECT Scenario, source AS gen_energy_source, sum(mw) - sum(base_mw) AS d, sum(mw) AS mw, sum(base_mw) AS b
               FROM build_delta WHERE PERIOD <> 'earlier' GROUP BY 1, 2))"""),
     ),
@@ -730,36 +730,36 @@ QUERIES = {
     ),
     "annual_dispatch": (
         q_annual_dispatch,
-        with_sql("dispatch_year", """SELECT Scenario, gen_load_zone, period, source AS gen_energy_source, round(gwh, 4) AS Energy_GWh_typical_yr, round(om, 4) AS VariableCost_per_yr,
-            round(sum(gwh) OVER (PARTITION BY Scenario, gen_load_zone, period), 4) AS Total_annual_GWh FROM dispatch_year"""),
+        with_sql("dispatch_year", """SELECT Scenario, gen_load_zone, period, source AS gen_energy_source, round(gwh, 5) AS Energy_GWh_typical_yr, round(om, 5) AS VariableCost_per_yr,
+            round(sum(gwh) OVER (PARTITION BY Scenario, gen_load_zone, period), 5) AS Total_annual_GWh FROM dispatch_year"""),
     ),
     "annual_dispatch_system_delta": (
         q_annual_dispatch_system_delta,
-        with_sql("dispatch_year", """SELECT a.Scenario, a.period, a.source AS gen_energy_source, round(sum(a.gwh), 4) AS Energy_GWh_typical_yr, round(sum(b.gwh), 4) AS Energy_GWh_typical_yr_baseline,
-            round(sum(a.gwh) - sum(b.gwh), 4) AS Delta_AnnualGen_GWh, round((sum(a.gwh) - sum(b.gwh)) / sum(b.gwh), 3) + 0.0 AS AnnualGen_perc_change_from_baseline
+        with_sql("dispatch_year", """SELECT a.Scenario, a.period, a.source AS gen_energy_source, round(sum(a.gwh), 5) AS Energy_GWh_typical_yr, round(sum(b.gwh), 5) AS Energy_GWh_typical_yr_baseline,
+            round(sum(a.gwh) - sum(b.gwh), 5) AS Delta_AnnualGen_GWh, round((sum(a.gwh) - sum(b.gwh)) / sum(b.gwh), 3) + 0.0 AS AnnualGen_perc_change_from_baseline
             FROM dispatch_year a LEFT JOIN dispatch_year b ON b.Scenario = '5-LOW' AND a.period = b.period AND a.gen_load_zone = b.gen_load_zone AND a.source = b.source
             WHERE a.Scenario <> '5-LOW' GROUP BY 1, 2, 3"""),
     ),
     "gen_load_wide": (
         q_gen_load_wide,
-        with_sql("gen_load", f"SELECT Scenario, ts_period, {_wide_sql(recode.ENERGY_SOURCES + co.LOAD_CATEGORIES, 'gwh', 'energy_category', 4)} FROM gen_load GROUP BY 1, 2"),
+        with_sql("gen_load", f"SELECT Scenario, ts_period, {_wide_sql(recode.ENERGY_SOURCES + co.LOAD_CATEGORIES, 'gwh', 'energy_category', 5)} FROM gen_load GROUP BY 1, 2"),
     ),
     "gen_load_delta": (
         q_gen_load_delta,
         with_sql("gen_load", "@").replace(" @", """, g AS (SELECT Scenario, ts_period, energy_category, CASE WHEN energy_category = 'zone_demand_GWh' THEN -gwh ELSE gwh END AS gwh FROM gen_load)
-            SELECT a.Scenario, a.ts_period, a.energy_category, round(a.gwh, 4) AS Energy_GWh_typical_yr, round(b.gwh, 4) AS Energy_GWh_typical_yr_baseline,
-            round(a.gwh - b.gwh, 4) AS Delta_AnnualGen_GWh, round((a.gwh - b.gwh) / b.gwh, 3) + 0.0 AS AnnualGen_perc_change_from_baseline FROM g a
+            SELECT a.Scenario, a.ts_period, a.energy_category, round(a.gwh, 5) AS Energy_GWh_typical_yr, round(b.gwh, 5) AS Energy_GWh_typical_yr_baseline,
+            round(a.gwh - b.gwh, 5) AS Delta_AnnualGen_GWh, round((a.gwh - b.gwh) / b.gwh, 3) + 0.0 AS AnnualGen_perc_change_from_baseline FROM g a
             LEFT JOIN g b ON b.Scenario = '5-LOW' AND a.ts_period = b.ts_period AND a.energy_category = b.energy_category WHERE a.Scenario <> '5-LOW'"""),
     ),
     "load_hydro_disaggregation": (
         q_load_hydro_disaggregation,
-        _disagg_sql("zone", """SELECT Scenario, y AS ts_period, load_zone, cause AS energy_category_disagg, family AS climate_impacts_included, round(d, 4) AS Delta_AnnualGen_GWh,
+        _disagg_sql("zone", """SELECT Scenario, y AS ts_period, load_zone, cause AS energy_category_disagg, family AS climate_impacts_included, round(d, 5) AS Delta_AnnualGen_GWh,
             round(d / base, 3) + 0.0 AS AnnualGen_perc_change_from_baseline FROM parts"""),
     ),
     "imbalance_ranking": (
         q_imbalance_ranking,
-        _disagg_sql("", """SELECT Scenario, y AS ts_period, cause AS energy_category_disagg, dense_rank() OVER (ORDER BY t, Scenario) AS scenario_rank, round(adj, 4) AS Adj_Delta_AnnualGen_GWh,
-            round(t, 4) AS TotalImbalance_GWh FROM (SELECT *, sum(adj) OVER (PARTITION BY y, Scenario) AS t FROM (SELECT *, CASE WHEN cause = 'Water' THEN -d ELSE d END AS adj FROM parts WHERE y = 1998))"""),
+        _disagg_sql("", """SELECT Scenario, y AS ts_period, cause AS energy_category_disagg, dense_rank() OVER (ORDER BY t, Scenario) AS scenario_rank, round(adj, 5) AS Adj_Delta_AnnualGen_GWh,
+            round(t, 5) AS TotalImbalance_GWh FROM (SELECT *, sum(adj) OVER (PARTITION BY y, Scenario) AS t FROM (SELECT *, CASE WHEN cause = 'Water' THEN -d ELSE d END AS adj FROM parts WHERE y = 1998))"""),
     ),
     "load_delta_zone": (q_load_delta_zone, _load_delta_sql("Scenario, load_zone, Year, ts_period", "true", "", "")),
     "load_delta_system": (q_load_delta_system, _load_delta_sql("Scenario, Year, ts_period", "true", "", "")),
@@ -794,7 +794,7 @@ QUERIES = {
     "duration_curve": (
         q_duration_curve,
         with_sql("balance points series", """SELECT Scenario, ts_period, timestamp, row_number() OVER (PARTITION BY Scenario, ts_period ORDER BY abs(demand) DESC, timestamp) AS counter,
-            demand AS zone_demand_mw FROM (SELECT b.Scenario, s.ts_period, b.stamp AS timestamp, sum(demand) AS demand FROM balance b JOIN points p ON b.stamp = p.timestamp
+            round(demand, 2) AS zone_demand_mw FROM (SELECT b.Scenario, s.ts_period, b.stamp AS timestamp, sum(demand) AS demand FROM balance b JOIN points p ON b.stamp = p.timestamp
             JOIN series s ON p.timeseries = s.timeseries GROUP BY 1, 2, 3)"""),
     ),
     "order_value_curve": (
@@ -824,7 +824,7 @@ QUERIES = {
     ),
     "hydro_monthly_delta": (
         q_hydro_monthly_delta,
-        with_sql("hydro_month_delta", """SELECT Scenario, period, Month, mwh AS Monthly_DispatchGen_MW, base AS Monthly_DispatchGen_MW_baseline, delta AS Delta_Monthly_DispatchGen_MW,
+        with_sql("hydro_month_delta", """SELECT Scenario, period, Month, round(mwh, 2) AS Monthly_DispatchGen_MW, round(base, 2) AS Monthly_DispatchGen_MW_baseline, round(delta, 2) AS Delta_Monthly_DispatchGen_MW,
             round(delta / base, 8) AS PercDelta_Monthly_DispatchGen_MW FROM hydro_month_delta"""),
     ),
     "monthly_load_hydro_box": (q_monthly_load_hydro_box, _box_sql()),
@@ -842,7 +842,7 @@ QUERIES = {
     ),
     "tx_edges": (
         q_tx_edges,
-        with_sql("tx", """SELECT Scenario, line AS TRANSMISSION_LINE, PERIOD, CAST(lz1 AS BIGINT) AS Load_zone1, CAST(lz2 AS BIGINT) AS Load_zone2, a.n_name AS LOAD_ZONE1, b.n_name AS LOAD_ZONE2,
+        with_sql("tx", """SELECT Scenario, line AS TRANSMISSION_LINE, PERIOD, CAST(lz1 AS BIGINT) AS zone_id1, CAST(lz2 AS BIGINT) AS zone_id2, a.n_name AS LOAD_ZONE1, b.n_name AS LOAD_ZONE2,
             round(p.x, 4) AS X1, p.y AS Y1, round(q.x, 4) AS X2, q.y AS Y2, round(nameplate / 1000, 5) AS nameplate_GW, round(built / 1000, 5) AS BuildTx_GW,
             round(sum(built / 1000) OVER (PARTITION BY Scenario, line), 5) AS total_new_BuildTx_GW FROM tx JOIN nation a ON a.n_nationkey = CAST(lz1 AS INTEGER)
             JOIN nation b ON b.n_nationkey = CAST(lz2 AS INTEGER)
@@ -851,7 +851,7 @@ QUERIES = {
     ),
     "zone_map_table": (
         q_zone_map_table,
-        with_sql("cap_delta", f"""SELECT s.Scenario, z.gen_load_zone, o.source AS gen_energy_source, p.PERIOD, c.X, c.Y, d.mw - d.base_mw AS Delta_GenCapacity_MW
+        with_sql("cap_delta", f"""SELECT s.Scenario, z.gen_load_zone, o.source AS gen_energy_source, p.PERIOD, c.X, c.Y, round(d.mw - d.base_mw, 2) AS Delta_GenCapacity_MW
             FROM (SELECT DISTINCT Scenario FROM cap_delta) s, (SELECT DISTINCT gen_load_zone FROM cap_delta) z, (SELECT DISTINCT source FROM cap_delta) o,
             (SELECT unnest(range(1995, 2003)) AS PERIOD) p LEFT JOIN cap_delta d ON d.Scenario = s.Scenario AND d.gen_load_zone = z.gen_load_zone AND d.source = o.source AND d.PERIOD = p.PERIOD
             LEFT JOIN (SELECT {i.sql_choose("n_regionkey", i.ZONES)} AS zone, count(*) AS X, count(DISTINCT s_nationkey) AS Y FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) c
@@ -875,7 +875,16 @@ QUERIES = {
             round(sum(h.k), 8) AS annual_hist_avg_Precip_km3, CAST(sum(c.km2) AS DOUBLE) AS total_region_area_km2
             FROM cc_year c JOIN hist_year h ON c.num = h.num AND c.km2 = h.km2 GROUP BY 1, 2, 3"""),
     ),
-    "climate_vs_energy_fit": (q_climate_vs_energy_fit, None),
+    "climate_vs_energy_fit": (
+        q_climate_vs_energy_fit,
+        with_sql("hist_year cc_year results", "@").replace(" @", """, clim AS (SELECT Scenario, c.region, avg(c.t - h.t) AS t, sum(c.k - h.k) AS k
+              FROM cc_year c JOIN hist_year h ON c.num = h.num AND c.km2 = h.km2 WHERE y = 1998 GROUP BY 1, 2),
+            e AS (SELECT c_mktsegment AS s, gen_load_zone AS z, source, sum(l_extendedprice) / 1000 AS g FROM results JOIN customer ON o_custkey = c_custkey WHERE y = 1998 GROUP BY 1, 2, 3),
+            d AS (SELECT a.s, a.source, CASE a.z WHEN 'CAN_BC' THEN 'CAN' WHEN 'CA_SCE' THEN 'SW' WHEN 'WA_E' THEN 'PacNW' ELSE 'MT' END AS region, sum(a.g - b.g) AS g
+              FROM e a JOIN e b ON b.s = 'BUILDING' AND a.z = b.z AND a.source = b.source WHERE a.s <> 'BUILDING' GROUP BY 1, 2, 3)
+            SELECT CASE source WHEN 'Water' THEN 'Hydropower' ELSE source END AS energy_category_disagg, d.region AS Region, round(regr_r2(g, t), 6) AS temp_r2,
+              round(regr_slope(g, t), 4) AS temp_slope, round(regr_r2(g, k), 6) AS precip_r2 FROM d JOIN clim c ON c.Scenario = d.s AND c.region = d.region GROUP BY 1, 2"""),
+    ),
     "scenario_delta_plain": (_delta_query("plain"), _delta_sql("a.v - b.v", "(a.v - b.v) / b.v")),
     "scenario_delta_abs": (
         _delta_query("abs"),
