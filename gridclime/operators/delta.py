@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import na_sum, r_div
@@ -65,18 +65,47 @@ def scenario_delta(
     Adds ``Baseline_Scenario``, ``<measure>_baseline``, the difference and the relative change
     (x/0 infinite, 0/0 NaN). ``how='left'`` keeps scenario rows only, ``how='full'`` also gives
     every scenario the baseline rows it lacks (retirements). ``mode`` may differ by measure.
+
+    The baseline has one row per key combination (see quality.duplicate_keys). The rows of a key
+    combination, one per scenario, meet in one shuffle of the given table, so whatever produced the
+    table runs once; null keys match null keys.
     """
     names = _names(measures)
+    if how == "full":
+        return _full_delta(df, baseline, keys, names, mode, ndigits, scenario, suffix)
+    if how != "left":
+        raise ValueError(f"unknown join {how!r}: use left or full")
+    found = F.when(F.col(scenario) == baseline, F.struct(*names)).alias("_row")
+    base = F.max(found).over(Window.partitionBy(*keys))
+    paired = df.withColumn("_base", base).where(F.col(scenario) != baseline)
+    both = paired.withColumns(
+        {
+            "Baseline_Scenario": F.when(F.col("_base").isNotNull(), F.lit(baseline)),
+            **{f"{m}{suffix}": F.col(f"_base.{m}") for m in names},
+        }
+    ).drop("_base")
+    return add_differences(both, names, mode, ndigits, suffix)
+
+
+def _full_delta(
+    df: DataFrame,
+    baseline: str,
+    keys: list[str],
+    names: Names,
+    mode: str | dict[str, str],
+    ndigits: int | None,
+    scenario: str,
+    suffix: str,
+) -> DataFrame:
     base = df.where(F.col(scenario) == baseline).select(
         *keys,
         F.col(scenario).alias("Baseline_Scenario"),
         *[F.col(m).alias(f"{m}{suffix}") for m in names],
     )
     others = df.where(F.col(scenario) != baseline)
-    if how == "full":
-        scenarios = others.agg(F.collect_set(scenario)).scalar()
-        base, keys = base.withColumn(scenario, F.explode(scenarios)), [*keys, scenario]
-    return add_differences(match(others, base, keys, how), names, mode, ndigits, suffix)
+    scenarios = others.agg(F.collect_set(scenario)).scalar()
+    wanted = base.withColumn(scenario, F.explode(scenarios))
+    return add_differences(match(others, wanted, [*keys, scenario], "full"), names, mode, ndigits, suffix)
 
 
 def rollup_delta(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_undefined, na_mean, na_sum
@@ -88,13 +88,17 @@ def five_number(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return bounds.select(*by, F.col("_size").alias("n"), *values)
 
 
-def group_fit(df: DataFrame, y: str, x: str, by: list[str], prefix: str = "") -> DataFrame:
-    """R2, slope and intercept of the least-squares line of y on x per group."""
-    return df.groupBy(*by).agg(
+def fit_columns(y: str, x: str, prefix: str = "") -> list[Column]:
+    """R2, slope and intercept of the least-squares line of y on x, as aggregates."""
+    return [
         F.regr_r2(y, x).alias(f"{prefix}r2"),
         F.regr_slope(y, x).alias(f"{prefix}slope"),
         F.regr_intercept(y, x).alias(f"{prefix}intercept"),
-    )
+    ]
+
+
+def group_fit(df: DataFrame, y: str, x: str, by: list[str], prefix: str = "") -> DataFrame:
+    return df.groupBy(*by).agg(*fit_columns(y, x, prefix))
 
 
 def category_rank(df: DataFrame, category: str, value: str, name: str = "category_rank") -> DataFrame:
@@ -110,6 +114,14 @@ def with_category_rank(df: DataFrame, ranks: DataFrame, category: str, name: str
     return match(df, ranks.select(category, name), [category])
 
 
+def rank_by_total(df: DataFrame, category: str, total: str, name: str) -> DataFrame:
+    """Order of the categories of a report table whose rows carry their category's total.
+
+    The window runs over the report (one row per scenario and category), not over its inputs.
+    """
+    return df.withColumn(name, F.dense_rank().over(Window.orderBy(F.col(total), F.col(category))))
+
+
 def distinct_counts(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(c).alias(n) for c, n in columns.items()]

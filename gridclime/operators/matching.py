@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import na_sum
@@ -37,12 +37,22 @@ def match(
     return joined.drop(*tag.values())
 
 
-def with_total(df: DataFrame, value: str, by: list[str], name: str, skip_nulls: bool = False) -> DataFrame:
+def with_total(
+    df: DataFrame, value: str, by: list[str], name: str, skip_nulls: bool = False, few_rows: bool = False
+) -> DataFrame:
     """Keep the rows and add the group total of ``value``.
 
-    Aggregating first and matching back moves only one row per group and task, where a window
-    would sort all rows of a group into one task.
+    Groups of any size are aggregated first and matched back, which moves only one row per group and
+    task. ``few_rows`` says that a group is one row per category (the sources of a zone, the periods
+    of a line); then a window gives the total without a second pass over the input.
     """
+    if few_rows:
+        whole = Window.partitionBy(*by)
+        v = F.col(value)
+        total = F.sum(v).over(whole)
+        if not skip_nulls:
+            total = F.when(F.count(v).over(whole) == F.count(F.lit(1)).over(whole), total)
+        return df.withColumn(name, total)
     totals = df.groupBy(*by).agg(na_sum(value, skip_nulls).alias(name))
     return match(df, totals, by)
 
@@ -79,29 +89,33 @@ def range_lookup(value: Column, ranges: list[tuple[float, float, str]], default:
     return expr.otherwise(default)
 
 
-def _with_levels(grid: DataFrame, df: DataFrame, keys: list[str], levels: dict[str, list]) -> DataFrame:
-    for k in keys:
-        if k in levels:
-            kind = df.schema[k].dataType.simpleString()
-            values = F.array(*[F.lit(v) for v in levels[k]]).cast(f"array<{kind}>")
-        else:
-            values = df.agg(F.collect_set(k)).scalar()
-        grid = grid.withColumn(k, F.explode(values))
-    return grid
-
-
 def key_grid(
     df: DataFrame, keys: list[str], levels: dict[str, list] | None = None, keep: list[str] | None = None
 ) -> DataFrame:
-    """All combinations of the distinct values of ``keys``.
+    """All combinations of the distinct values of ``keys``, which are category columns.
 
-    The first key (or the observed combinations of the ``keep`` keys) stays a distributed frame; the
-    level lists of the other keys, which are category columns, are attached as arrays and exploded,
-    so there is no cross join.
+    One aggregate finds the levels of every key (or takes them from ``levels``); the grid is the
+    level lists exploded one after the other, spread over the tasks after the first, so there is no
+    cross join. ``keep`` keys contribute their observed combinations instead of their product.
     """
-    stay = keep or keys[:1]
-    grid = df.select(*stay).distinct()
-    return _with_levels(grid, df, [k for k in keys if k not in stay], levels or {})
+    levels = levels or {}
+    keep = keep or []
+    single = [k for k in keys if k not in keep]
+    sets = [F.collect_set(F.struct(*keep)).alias("_keep")] if keep else []
+    sets += [F.collect_set(k).alias(k) for k in single if k not in levels]
+    found = df.agg(*sets) if sets else df.sparkSession.range(1).drop("id")
+    given = {
+        k: F.array(*[F.lit(v) for v in levels[k]]).cast(f"array<{df.schema[k].dataType.simpleString()}>")
+        for k in single
+        if k in levels
+    }
+    grid = found.withColumns(given) if given else found
+    order = (["_keep"] if keep else []) + single
+    for n, k in enumerate(order):
+        grid = grid.withColumn(k, F.explode(k))
+        if n == 0 and len(order) > 1:
+            grid = grid.repartition(k)
+    return grid.select(*[F.col(f"_keep.{k}").alias(k) if k in keep else F.col(k) for k in keys])
 
 
 def densify(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.missing import na_mean, na_sum
 from ..functions.recode import ENERGY_CATEGORY_LABELS, region_of, relabel, state_of_zone
 from ..functions.units import depth_to_km3
-from ..operators.grouped import group_fit, mixed_rollup
+from ..operators.grouped import fit_columns, mixed_rollup
 from ..operators.matching import match
 from ..operators.ordered import strided_mean
 
@@ -138,10 +138,9 @@ def climate_vs_energy_fit(
         regional_energy(energy, period), climate, {"Scenario": "Scenario", "ts_period": "Year", "Region": "Region"}
     )
     by = ["energy_category_disagg", "Region"]
-    fits = match(
-        group_fit(joined, "Delta_AnnualGen_GWh", "delta_annual_avg_tavg_C", by, "temp_"),
-        group_fit(joined, "Delta_AnnualGen_GWh", "delta_annual_total_Precip_km3", by, "precip_"),
-        by,
+    fits = joined.groupBy(*by).agg(
+        *fit_columns("Delta_AnnualGen_GWh", "delta_annual_avg_tavg_C", "temp_"),
+        *fit_columns("Delta_AnnualGen_GWh", "delta_annual_total_Precip_km3", "precip_"),
     )
     points = match(joined, fits.select(*by, "temp_r2", "precip_r2"), by)
     label = relabel("energy_category_disagg", ENERGY_CATEGORY_LABELS)

@@ -24,7 +24,7 @@ from ..functions.recode import (
 )
 from ..functions.units import thousandth
 from ..operators.delta import add_differences, drop_undefined_change, rollup_delta, scenario_delta
-from ..operators.grouped import category_rank, five_number, with_category_rank
+from ..operators.grouped import five_number, rank_by_total
 from ..operators.matching import densify, match, with_total
 from ..operators.ordered import duration_curve, running_total
 from ..operators.reshape import pivot_fill, to_long
@@ -62,7 +62,7 @@ def _by_zone_and_source(df: DataFrame, time: str, measure: str, name: str, total
     """Sum by zone, time and source, with the zone's total over all sources."""
     keys = ["Scenario", "gen_load_zone", time]
     summed = with_source(df).groupBy(*keys, "gen_energy_source").agg(na_sum(measure).alias(name))
-    return with_total(summed, name, keys, total)
+    return with_total(summed, name, keys, total, few_rows=True)
 
 
 def capacity_online(gen_cap: DataFrame, baseline: str = BASELINE) -> dict[str, DataFrame]:
@@ -122,8 +122,9 @@ def capacity_built(
             na_sum("BuildGen_MW_baseline").alias("CumulativeBaselineBuildGen_MW"),
         )
     )
-    totals = with_total(cumulative, "CumulativeDelta_BuildGen_MW", keys, "TotalCumulativeDelta_BuildGen_MW")
-    order = category_rank(totals, "Scenario", "TotalCumulativeDelta_BuildGen_MW", "scenario_rank")
+    total = "TotalCumulativeDelta_BuildGen_MW"
+    totals = with_total(cumulative, "CumulativeDelta_BuildGen_MW", keys, total, few_rows=True)
+    ranked = rank_by_total(totals, "Scenario", total, "scenario_rank")
     return {
         "zone_year": labelled,
         "zone": zone,
@@ -133,8 +134,8 @@ def capacity_built(
         ),
         "zone_delta": zone_delta,
         "system_delta": system_delta,
-        "cumulative": with_category_rank(totals, order, "Scenario", "scenario_rank"),
-        "scenario_order": order,
+        "cumulative": ranked,
+        "scenario_order": ranked.select("Scenario", "scenario_rank").distinct(),
     }
 
 
@@ -173,7 +174,7 @@ def annual_dispatch(
             na_sum("VariableOMCost_per_yr").alias("VariableCost_per_yr"),
         )
     )
-    zone = with_total(summed, "Energy_GWh_typical_yr", keys, "Total_annual_GWh")
+    zone = with_total(summed, "Energy_GWh_typical_yr", keys, "Total_annual_GWh", few_rows=True)
     system = zone.groupBy("Scenario", "period", "gen_energy_source").agg(
         na_sum("Energy_GWh_typical_yr").alias("Energy_GWh_typical_yr")
     )
@@ -246,10 +247,9 @@ def imbalance_ranking(disaggregated: DataFrame, period: int | None = 2050, by: l
     adjusted = chosen.withColumn(
         "Adj_Delta_AnnualGen_GWh", F.when(F.col("energy_category_disagg") == "Water", -delta).otherwise(delta)
     )
-    total = with_total(adjusted, "Adj_Delta_AnnualGen_GWh", [*by, "ts_period", "Scenario"], "TotalImbalance_GWh")
-    return with_category_rank(
-        total, category_rank(total, "Scenario", "TotalImbalance_GWh", "scenario_rank"), "Scenario", "scenario_rank"
-    )
+    keys = [*by, "ts_period", "Scenario"]
+    total = with_total(adjusted, "Adj_Delta_AnnualGen_GWh", keys, "TotalImbalance_GWh", few_rows=True)
+    return rank_by_total(total, "Scenario", "TotalImbalance_GWh", "scenario_rank")
 
 
 def load_dispatch_tx_delta(zone_loads: DataFrame, baseline: str = BASELINE) -> dict[str, DataFrame]:
@@ -369,13 +369,21 @@ def hourly_dispatch(dispatch: DataFrame, zone: str = "America/Los_Angeles") -> d
 
 
 def seasonal_dispatch(system: DataFrame) -> DataFrame:
-    """Mean dispatch by season, day type, hour and source; total curtailment as one more source."""
+    """Mean dispatch by season, day type, hour and source; total curtailment as one more source.
+
+    Each mean becomes two rows, its source's dispatch and its share of the curtailment, which are
+    summed once more: the hourly rows are read once.
+    """
     keys = ["Scenario", "Season", "period", "Hour_local", "day_type"]
     means = system.groupBy(*keys, "gen_energy_source").agg(
         na_mean("DispatchGen_MW").alias("DispatchGen_MW"), na_mean("Curtailment_MW").alias("Curtailment_MW")
     )
-    curtailed = means.groupBy(*keys).agg(na_sum("Curtailment_MW").alias("DispatchGen_MW"))
-    return means.drop("Curtailment_MW").unionByName(curtailed.withColumn("gen_energy_source", F.lit("Curtailment")))
+    rows = F.array(
+        F.struct(F.col("gen_energy_source").alias("source"), F.col("DispatchGen_MW").alias("mw")),
+        F.struct(F.lit("Curtailment").alias("source"), F.col("Curtailment_MW").alias("mw")),
+    )
+    long = means.select(*keys, F.inline(rows))
+    return long.groupBy(*keys, F.col("source").alias("gen_energy_source")).agg(na_sum("mw").alias("DispatchGen_MW"))
 
 
 def seasonal_dispatch_delta(seasonal: DataFrame, baseline: str = BASELINE, dense: bool = True) -> DataFrame:
@@ -501,7 +509,7 @@ def tx_edges(transmission: DataFrame, zones: DataFrame, centroids: DataFrame) ->
     joined = match(match(lines, end(1), {"zone_id1": "zone_dbid"}), end(2), {"zone_id2": "zone_dbid"})
     line = ["TRANSMISSION_LINE", "trans_lz1", "trans_lz2", "zone_id1", "zone_id2", "LOAD_ZONE1", "LOAD_ZONE2"]
     by = [c for c in ("Scenario",) if c in transmission.columns] + line
-    return with_total(joined, "BuildTx_GW", by, "total_new_BuildTx_GW")
+    return with_total(joined, "BuildTx_GW", by, "total_new_BuildTx_GW", few_rows=True)
 
 
 def tx_edges_long(edges: DataFrame) -> DataFrame:

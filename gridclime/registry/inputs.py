@@ -49,8 +49,15 @@ FUELS = {
 WEIGHT_CATEGORIES = ["click", "error", "purchase", "signup", "view"]
 
 
+_scans: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """Scan of a given table; its footer is read once per session."""
+    key = (spark.sparkContext.applicationId, id(spark), sf, name)
+    if key not in _scans:
+        _scans[key] = spark.read.parquet(f"{sf}/{name}.parquet")
+    return _scans[key]
 
 
 def choose(c: Column | str, mapping: dict) -> Column:
@@ -641,7 +648,7 @@ def catchment_data(spark: SparkSession, sf: str) -> DataFrame:
     monthly = (
         catchment_lines(spark, sf)
         .groupBy(*keys)
-        .agg((F.avg("l_discount") * 100).alias("tavg.C"), F.sum("l_quantity").alias("Prcp.mm"))
+        .agg((F.avg("l_discount") * (100 / 7)).alias("tavg.C"), F.sum("l_quantity").alias("Prcp.mm"))
     )
     return monthly.unpivot(keys, ["`tavg.C`", "`Prcp.mm`"], "Var_type", "value").withColumn(
         "Var_type", F.replace("Var_type", F.lit("`"), F.lit(""))
@@ -889,7 +896,7 @@ SQL = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
         JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "catch_month": """SELECT c.Scenario, c.num, c.name, c.state, c.region, y, m, avg(t) AS tavg, sum(mm * 1e-6 * area * 0.01) AS km3, max(total) AS km2 FROM (
-          SELECT Scenario, num, name, state, region, band, y, m, avg(l_discount) * 100 AS t, sum(l_quantity) AS mm FROM catch GROUP BY 1, 2, 3, 4, 5, 6, 7, 8) c
+          SELECT Scenario, num, name, state, region, band, y, m, avg(l_discount) * (100.0::DOUBLE / 7) AS t, sum(l_quantity) AS mm FROM catch GROUP BY 1, 2, 3, 4, 5, 6, 7, 8) c
         JOIN (SELECT num, band, count(*) * 100.0 AS area FROM catch GROUP BY 1, 2) b ON b.num = c.num AND b.band = c.band
         JOIN (SELECT num, count(*) * 100.0 * 0.01 AS total FROM catch GROUP BY 1) k ON k.num = c.num
         WHERE CASE WHEN c.Scenario = 'Hist' THEN y BETWEEN 1995 AND 1997 ELSE y BETWEEN 1995 AND 2001 END GROUP BY 1, 2, 3, 4, 5, 6, 7""",

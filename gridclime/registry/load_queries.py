@@ -424,7 +424,7 @@ QUERIES = {
         with_sql(
             "delta_daily",
             f"""SELECT Scenario, load_zone, {DATE}, year(Date) AS year, month(Date) AS month, day(Date) AS day, degree_day_type, degree_day_C,
-            round(hist_avg_degree_day_C, 6) AS hist_avg_degree_day_C, round(delta_degree_day_C, 6) AS delta_degree_day_C FROM delta_daily""",
+            round(hist_avg_degree_day_C, 6) AS hist_avg_degree_day_C, round(delta_degree_day_C, 6) + 0.0 AS delta_degree_day_C FROM delta_daily""",
         ),
     ),
     "averaged_delta": (
@@ -432,7 +432,7 @@ QUERIES = {
         with_sql(
             "delta_daily",
             f"""SELECT a.Scenario, a.load_zone, strftime(a.Date, '%Y-%m-%d') AS Date, a.degree_day_type,
-            round(avg(b.v) + 0.0, 6) AS avg_delta_degree_day_C FROM series a LEFT JOIN series b ON a.Scenario = b.Scenario AND a.load_zone = b.load_zone
+            round(avg(b.v), 6) + 0.0 AS avg_delta_degree_day_C FROM series a LEFT JOIN series b ON a.Scenario = b.Scenario AND a.load_zone = b.load_zone
               AND a.degree_day_type = b.degree_day_type AND a.p % 365 = b.p % 365 AND abs(a.p - b.p) <= 1825 AND b.p < b.n GROUP BY 1, 2, 3, 4""",
         ).replace(
             " SELECT a.Scenario",
@@ -447,7 +447,7 @@ QUERIES = {
         with_sql(
             "delta_daily",
             f"""SELECT a.Scenario, a.load_zone, strftime(a.Date, '%Y-%m-%d') AS Date, a.degree_day_type,
-            round(avg(b.v), 6) AS avg_delta_degree_day_C FROM series a JOIN series b ON a.Scenario = b.Scenario AND a.load_zone = b.load_zone
+            round(avg(b.v), 6) + 0.0 AS avg_delta_degree_day_C FROM series a JOIN series b ON a.Scenario = b.Scenario AND a.load_zone = b.load_zone
               AND a.degree_day_type = b.degree_day_type AND a.p % 7 = b.p % 7 AND abs(a.p - b.p) <= 14 AND b.p < b.n
             GROUP BY 1, 2, 3, 4 HAVING count(*) = count(b.v)""",
         ).replace(

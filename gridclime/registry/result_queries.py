@@ -233,18 +233,18 @@ def _costs(spark, sf):
 
 
 def q_cost_items_delta(spark, sf):
-    values = {"PeriodCost_NPV": 1, "PeriodCost_Real": 1, "Delta_PeriodCost_NPV": 1, "Delta_PeriodCost_Real": 1,
+    values = {"PeriodCost_NPV": 2, "PeriodCost_Real": 2, "Delta_PeriodCost_NPV": 2, "Delta_PeriodCost_Real": 2,
               "PeriodCost_NPV_perc_change_from_baseline": 3}
     return shape(_costs(spark, sf)["item_delta"], ["Scenario", "PERIOD", "Component"], values)
 
 
 def q_cost_period_delta(spark, sf):
-    values = {"PeriodCost_NPV": 1, "PeriodCost_Real": 1, "Delta_PeriodCost_NPV": 1, "Delta_PeriodCost_Real": 1}
+    values = {"PeriodCost_NPV": 2, "PeriodCost_Real": 2, "Delta_PeriodCost_NPV": 2, "Delta_PeriodCost_Real": 2}
     return shape(_costs(spark, sf)["period_delta"], ["Scenario", "PERIOD"], values)
 
 
 def q_cost_total_delta(spark, sf):
-    values = {"PeriodCost_NPV": 1, "Delta_PeriodCost_NPV": 1, "Delta_PeriodCost_Real": 1,
+    values = {"PeriodCost_NPV": 2, "Delta_PeriodCost_NPV": 2, "Delta_PeriodCost_Real": 2,
               "TotalCost_NPV_perc_change_from_baseline": 8, "TotalCost_Real_perc_change_from_baseline": 8}
     return shape(_costs(spark, sf)["total_delta"], ["Scenario", "Baseline_Scenario"], values)
 
@@ -360,7 +360,7 @@ def q_tx_delta(spark, sf):
 def q_tx_edges(spark, sf):
     edges = co.tx_edges(i.transmission(spark, sf), i.nation_zones(spark, sf), i.nation_centroids(spark, sf))
     keys = ["Scenario", "TRANSMISSION_LINE", "PERIOD", "zone_id1", "zone_id2", "LOAD_ZONE1", "LOAD_ZONE2", "Y1", "Y2"]
-    values = {"X1": 4, "X2": 4, "nameplate_GW": 5, "BuildTx_GW": 5, "total_new_BuildTx_GW": 5}
+    values = {"X1": 4, "X2": 4, "nameplate_GW": 8, "BuildTx_GW": 8, "total_new_BuildTx_GW": 8}
     return shape(edges, keys, values)
 
 
@@ -766,18 +766,18 @@ QUERIES = {
     "load_delta_us": (q_load_delta_us, _load_delta_sql("Scenario, Year, ts_period", "load_zone NOT IN ('CAN_ALB', 'CAN_BC', 'MEX_BAJA')", "", "")),
     "cost_items_delta": (
         q_cost_items_delta,
-        with_sql("cost_delta", """SELECT Scenario, PERIOD, Component, round(npv, 1) AS PeriodCost_NPV, round(real, 1) AS PeriodCost_Real, round(npv - npv_b, 1) AS Delta_PeriodCost_NPV,
-            round(real - real_b, 1) AS Delta_PeriodCost_Real, round((npv - npv_b) / npv_b, 3) + 0.0 AS PeriodCost_NPV_perc_change_from_baseline FROM cost_delta"""),
+        with_sql("cost_delta", """SELECT Scenario, PERIOD, Component, round(npv, 2) AS PeriodCost_NPV, round(real, 2) AS PeriodCost_Real, round(npv - npv_b, 2) AS Delta_PeriodCost_NPV,
+            round(real - real_b, 2) AS Delta_PeriodCost_Real, round((npv - npv_b) / npv_b, 3) + 0.0 AS PeriodCost_NPV_perc_change_from_baseline FROM cost_delta"""),
     ),
     "cost_period_delta": (
         q_cost_period_delta,
-        with_sql("cost_delta", """SELECT Scenario, PERIOD, round(sum(npv), 1) AS PeriodCost_NPV, round(sum(real), 1) AS PeriodCost_Real, round(sum(npv - npv_b), 1) AS Delta_PeriodCost_NPV,
-            round(sum(real - real_b), 1) AS Delta_PeriodCost_Real FROM cost_delta GROUP BY 1, 2"""),
+        with_sql("cost_delta", """SELECT Scenario, PERIOD, round(sum(npv), 2) AS PeriodCost_NPV, round(sum(real), 2) AS PeriodCost_Real, round(sum(npv - npv_b), 2) AS Delta_PeriodCost_NPV,
+            round(sum(real - real_b), 2) AS Delta_PeriodCost_Real FROM cost_delta GROUP BY 1, 2"""),
     ),
     "cost_total_delta": (
         q_cost_total_delta,
-        with_sql("cost_delta", """SELECT Scenario, '5-LOW' AS Baseline_Scenario, round(sum(npv), 1) AS PeriodCost_NPV, round(sum(npv - npv_b), 1) AS Delta_PeriodCost_NPV,
-            round(sum(real - real_b), 1) AS Delta_PeriodCost_Real, round(sum(npv - npv_b) / sum(npv_b), 8) AS TotalCost_NPV_perc_change_from_baseline,
+        with_sql("cost_delta", """SELECT Scenario, '5-LOW' AS Baseline_Scenario, round(sum(npv), 2) AS PeriodCost_NPV, round(sum(npv - npv_b), 2) AS Delta_PeriodCost_NPV,
+            round(sum(real - real_b), 2) AS Delta_PeriodCost_Real, round(sum(npv - npv_b) / sum(npv_b), 8) AS TotalCost_NPV_perc_change_from_baseline,
             round(sum(real - real_b) / sum(real_b), 8) AS TotalCost_Real_perc_change_from_baseline FROM cost_delta GROUP BY 1"""),
     ),
     "monthly_load_delta": (
@@ -843,8 +843,8 @@ QUERIES = {
     "tx_edges": (
         q_tx_edges,
         with_sql("tx", """SELECT Scenario, line AS TRANSMISSION_LINE, PERIOD, CAST(lz1 AS BIGINT) AS zone_id1, CAST(lz2 AS BIGINT) AS zone_id2, a.n_name AS LOAD_ZONE1, b.n_name AS LOAD_ZONE2,
-            round(p.x, 4) AS X1, p.y AS Y1, round(q.x, 4) AS X2, q.y AS Y2, round(nameplate / 1000, 5) AS nameplate_GW, round(built / 1000, 5) AS BuildTx_GW,
-            round(sum(built / 1000) OVER (PARTITION BY Scenario, line), 5) AS total_new_BuildTx_GW FROM tx JOIN nation a ON a.n_nationkey = CAST(lz1 AS INTEGER)
+            round(p.x, 4) AS X1, p.y AS Y1, round(q.x, 4) AS X2, q.y AS Y2, round(nameplate / 1000, 8) AS nameplate_GW, round(built / 1000, 8) AS BuildTx_GW,
+            round(sum(built / 1000) OVER (PARTITION BY Scenario, line), 8) AS total_new_BuildTx_GW FROM tx JOIN nation a ON a.n_nationkey = CAST(lz1 AS INTEGER)
             JOIN nation b ON b.n_nationkey = CAST(lz2 AS INTEGER)
             JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS x, count(*) AS y FROM customer GROUP BY 1) p ON p.k = a.n_nationkey
             JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS x, count(*) AS y FROM customer GROUP BY 1) q ON q.k = b.n_nationkey"""),
