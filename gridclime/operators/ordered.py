@@ -120,9 +120,23 @@ def strided_mean(
 
 
 def running_total(
-    df: DataFrame, value: str, by: list[str], order: list[str], name: str, bucket: Column | None = None
+    df: DataFrame,
+    value: str,
+    by: list[str],
+    order: list[str],
+    name: str,
+    bucket: Column | None = None,
+    few_rows: bool = False,
 ) -> DataFrame:
-    """Cumulative sum along the order; after a null it stays null."""
+    """Cumulative sum along the order; after a null it stays null.
+
+    ``few_rows`` says that a series is short (the periods of a line); then one window is enough and
+    the input is read once.
+    """
+    if few_rows:
+        so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        missing = F.count(F.when(F.col(value).isNull(), 1)).over(so_far)
+        return df.withColumn(name, F.when(missing == 0, F.sum(value).over(so_far)))
     cut = df.withColumn("_bucket", order_bucket(df, order[0]) if bucket is None else bucket)
     v = F.col(value)
     sums = {"_s": F.coalesce(F.sum(v), F.lit(0.0)), "_m": F.count(F.when(v.isNull(), 1))}

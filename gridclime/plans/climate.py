@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import na_mean, na_sum
+from ..functions.missing import na_sum
 from ..functions.recode import ENERGY_CATEGORY_LABELS, region_of, relabel, state_of_zone
 from ..functions.units import depth_to_km3
 from ..operators.grouped import fit_columns, mixed_rollup
@@ -30,25 +30,50 @@ def catchment_climate(
     """Mean temperature and precipitation volume per catchment and month, with moving means.
 
     ``data`` is long by variable and elevation band, ``bands`` gives the band areas. The historical
-    run is not averaged.
+    run is not averaged. Both variables are reduced in one pass over the data.
     """
     site = ["Scenario", "Catchment_num", "Catchment_name", "State"]
     month = [*site, "Year", "Month"]
-    temperature = (
-        data.where(F.col("Var_type").isin(TEMPERATURES)).groupBy(*month).agg(na_mean("value").alias("tavg_C"))
+    variable, km3 = F.col("Var_type"), depth_to_km3("value", "area_ha")
+    warmth = variable.isin(TEMPERATURES)
+    rain = variable == PRECIPITATION
+    placed = rain & F.col("total_catchment_area_km2").isNotNull()
+    sums = match(data, bands, [*site, "Elevation"]).groupBy(*month).agg(
+        F.avg(F.when(warmth, F.col("value"))).alias("_tavg"),
+        F.count(F.when(warmth & F.col("value").isNull(), 1)).alias("_tavg_missing"),
+        F.count(F.when(warmth, 1)).alias("_tavg_rows"),
+        F.sum(F.when(placed, km3)).alias("_km3"),
+        F.count(F.when(placed & km3.isNull(), 1)).alias("_km3_missing"),
+        F.count(F.when(placed, 1)).alias("_placed"),
+        F.count(F.when(rain & ~placed, 1)).alias("_unplaced"),
+        F.max("total_catchment_area_km2").alias("_area"),
     )
-    precipitation = data.where(F.col("Var_type") == PRECIPITATION)
-    banded = match(precipitation, bands, [*site, "Elevation"])
-    volume = (
-        banded.withColumn("_km3", depth_to_km3("value", "area_ha"))
-        .groupBy(*month, "total_catchment_area_km2")
-        .agg(na_sum("_km3").alias("Precip_km3"))
+    # precipitation of bands without an area stays apart, as a row without area and volume
+    volume = F.when(F.col("_km3_missing") == 0, F.col("_km3"))
+    nothing = F.lit(None).cast("double")
+    rows = F.array_compact(
+        F.array(
+            F.when(F.col("_placed") > 0, F.struct(F.col("_area").alias("area"), volume.alias("km3"))),
+            F.when(
+                (F.col("_unplaced") > 0) | (F.col("_placed") == 0),
+                F.struct(nothing.alias("area"), nothing.alias("km3")),
+            ),
+        )
     )
     past = F.col("Scenario") == historical
     years = F.when(past, F.col("Year").between(*historical_years)).otherwise(F.col("Year").between(*scenario_years))
-    monthly = match(temperature, volume, month).where(years)
+    monthly = (
+        sums.where((F.col("_tavg_rows") > 0) & years)
+        .withColumn("_row", F.explode(rows))
+        .select(
+            *month,
+            F.when(F.col("_tavg_missing") == 0, F.col("_tavg")).alias("tavg_C"),
+            F.col("_row.area").alias("total_catchment_area_km2"),
+            F.col("_row.km3").alias("Precip_km3"),
+        )
+    )
     averaged = strided_mean(
-        monthly.where(~past),
+        monthly,
         {"Precip_km3": "avg_Precip_km3", "tavg_C": "avg_tavg_C"},
         site,
         ["Year", "Month"],
@@ -56,8 +81,13 @@ def catchment_climate(
         half_width,
         include_last=False,
     )
-    plain = monthly.where(past).withColumns({"avg_Precip_km3": F.col("Precip_km3"), "avg_tavg_C": F.col("tavg_C")})
-    return averaged.unionByName(plain).withColumn("Region", region_of("State"))
+    return averaged.withColumns(
+        {
+            "avg_Precip_km3": F.when(past, F.col("Precip_km3")).otherwise(F.col("avg_Precip_km3")),
+            "avg_tavg_C": F.when(past, F.col("tavg_C")).otherwise(F.col("avg_tavg_C")),
+            "Region": region_of("State"),
+        }
+    )
 
 
 def historical_means(monthly: DataFrame, historical: str = HISTORICAL) -> DataFrame:

@@ -440,21 +440,20 @@ def monthly_load_hydro_box(
     }
 
 
+def numeric_builds(transmission: DataFrame) -> DataFrame:
+    return transmission.withColumn("BuildTx", number_or_zero("BuildTx"))
+
+
 def tx_lines(transmission: DataFrame) -> DataFrame:
     """New build per line and period as a number, with its running total along the periods."""
-    built = transmission.withColumn("BuildTx", number_or_zero("BuildTx"))
-    return running_total(
-        built,
-        "BuildTx",
-        ["Scenario", "TRANSMISSION_LINE", "trans_lz1", "trans_lz2"],
-        ["PERIOD"],
-        "cumulative_BuiltTx_MW",
-    )
+    by = ["Scenario", "TRANSMISSION_LINE", "trans_lz1", "trans_lz2"]
+    built = numeric_builds(transmission)
+    return running_total(built, "BuildTx", by, ["PERIOD"], "cumulative_BuiltTx_MW", few_rows=True)
 
 
 def tx_balance(system: DataFrame) -> DataFrame:
     """Running new build and existing capacity of (Scenario, PERIOD) totals."""
-    running = running_total(system, "BuildTx", ["Scenario"], ["PERIOD"], "cumulative_BuiltTx_MW")
+    running = running_total(system, "BuildTx", ["Scenario"], ["PERIOD"], "cumulative_BuiltTx_MW", few_rows=True)
     return running.withColumn("existing_Tx_MW", F.col("TxCapacityNameplate") - F.col("BuildTx"))
 
 
@@ -472,13 +471,12 @@ def tx_delta(long: DataFrame, baseline: str = BASELINE) -> DataFrame:
 
 def tx_report(transmission: DataFrame, baseline: str = BASELINE) -> dict[str, DataFrame]:
     """Transmission builds by line, for the system, long by type, and the deltas."""
-    lines = tx_lines(transmission)
-    totals = lines.groupBy("Scenario", "PERIOD").agg(
+    totals = numeric_builds(transmission).groupBy("Scenario", "PERIOD").agg(
         na_sum("BuildTx").alias("BuildTx"), na_sum("TxCapacityNameplate").alias("TxCapacityNameplate")
     )
     balance = tx_balance(totals)
     long = tx_long(balance)
-    return {"lines": lines, "system": balance, "long": long, "delta": tx_delta(long, baseline)}
+    return {"lines": tx_lines(transmission), "system": balance, "long": long, "delta": tx_delta(long, baseline)}
 
 
 def tx_edges(transmission: DataFrame, zones: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -55,6 +55,7 @@ def test_running_total_across_buckets_and_after_a_null(spark):
     rows = [("a", t, float(t)) for t in range(50)] + [("b", t, None if t == 7 else 1.0) for t in range(20)]
     df = spark.createDataFrame(rows, "k string, t int, v double")
     got = ordered.running_total(df, "v", ["k"], ["t"], "c", F.floor(F.col("t") / 4)).collect()
+    got += ordered.running_total(df, "v", ["k"], ["t"], "c", few_rows=True).collect()
     for r in got:
         if r.k == "a":
             assert r.c == r.t * (r.t + 1) / 2
