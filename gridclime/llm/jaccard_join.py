@@ -10,8 +10,9 @@ and measures every point's distance to them: points within the radius are linked
 inequality two points can only be linked if their distances to a pivot differ by the radius at most; these windows
 bound what is compared from then on. Pivots leave their cell, and points that links have joined already need no
 comparison, so a cell of many near copies is settled by its pivots; the cell divides again with new pivots, taken
-outside its largest component, until all of it is settled. What remains after ``rounds`` divisions is joined under
-the same bounds and windows. No cell is cut and no pair that could join two components is left out.
+outside its largest component. What ``rounds`` divisions leave of the cells forms regions, one for each largest
+component, whose outer points are joined with all of the region block by block on the whole sets. No cell is cut and no
+pair that could join two components is left out.
 
 Found are verified links that join every component, not each pair inside a group of copies.
 """
@@ -32,6 +33,8 @@ from .tokens import WORDS, chunks, distinct, mix, shingle_sets, tokenise
 SMALL = 32
 #: Pivots of a larger cell in each round.
 PIVOTS = 8
+#: Points of a block of a region.
+BLOCK = 1000
 #: Bits of the filter of frequent shingles (16 MB), of which an eighth is set at most.
 FREQUENT_BITS = 1 << 27
 
@@ -269,6 +272,56 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("shingle", *(F.col(c).alias(side + c) for c in ("point", "n", "place", "component", "d")))
 
 
+def join_regions(cells: DataFrame, sets: DataFrame, tables: Tables, num: int, den: int) -> DataFrame:
+    """Links (x, y) between what cells with one main component have outside and all they have, block by block.
+
+    Each pair of blocks is one task's work on its whole sets; of an outer point's links to one component it reports one.
+    """
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        role, point, component = (table.column(c).to_numpy() for c in ("role", "point", "component"))
+        sets_ = [np.frombuffer(z.as_buffer(), np.int64) for z in table.column("shingles")]
+        outer, whole = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        x, y, seen = [], [], set()
+        if len(outer) and len(whole):
+            sizes = np.array([len(sets_[i]) for i in outer])
+            flat = np.concatenate([sets_[i] for i in outer])
+            owner = np.repeat(np.arange(len(outer)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for j in whole:
+                left, right = np.searchsorted(flat, sets_[j], "left"), np.searchsorted(flat, sets_[j], "right")
+                n = right - left
+                at = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(outer))
+                linked = den * common >= num * (sizes + len(sets_[j]) - common)
+                for i in outer[linked & (component[outer] != component[j])]:
+                    if (i, component[j]) not in seen:
+                        seen.add((i, component[j]))
+                        x.append(min(point[i], point[j]))
+                        y.append(max(point[i], point[j]))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    rows = tables.save(cells.groupBy("main", "point").agg(F.max("component").alias("component")), "regions")
+    sizes = rows.groupBy("main").agg(
+        (1 + F.count("*") / BLOCK).cast("int").alias("wholes"),
+        (1 + F.count_if(F.col("component") != F.col("main")) / BLOCK).cast("int").alias("outers"),
+    )
+    rows = rows.join(sizes, "main")
+    part = F.xxhash64("point")
+    outer = rows.where("component <> main").select(
+        "main", "point", "component", F.lit(0).alias("role"),
+        F.pmod(part, F.col("outers")).alias("a"), F.explode(F.expr("sequence(0L, wholes - 1L)")).alias("b"),
+    )
+    whole = rows.select(
+        "main", "point", "component", F.lit(1).alias("role"),
+        F.explode(F.expr("sequence(0L, outers - 1L)")).alias("a"), F.pmod(part, F.col("wholes")).alias("b"),
+    )
+    blocks = outer.union(whole).join(sets, "point")
+    found = blocks.groupBy("main", "a", "b").applyInArrow(one, "x long, y long")
+    return tables.save(found, "outer_links")
+
+
 def divide(large: DataFrame, links: DataFrame, sets: DataFrame, tables: Tables, num: int, den: int, rounds: int) -> DataFrame:
     """All links (x, y), those of the larger cells added. large: (shingle, point, n, place)."""
     large = large.withColumn("d", F.array().cast("array<double>"))
@@ -280,18 +333,15 @@ def divide(large: DataFrame, links: DataFrame, sets: DataFrame, tables: Tables,
         sizes = cells.groupBy("shingle", "component").agg(F.count("*").alias("m"))
         sizes = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("several"))
         cells = tables.save(cells.join(sizes.where("several > 1").drop("several"), "shingle"), f"cells{k}")
+        if k > rounds:
+            return links.union(join_regions(cells, sets, tables, num, den))
         heads = cells.where("component <> main").withColumn("slot", F.pmod(F.xxhash64("point"), F.lit(PIVOTS)))
         heads = heads.groupBy("shingle", "slot").agg(F.min_by(F.struct("point", "n", "place", "component", "d"), "point").alias("p"))
         heads = tables.save(heads.select("shingle", "slot", "p.*"), f"pivots{k}")
-        last = k > rounds
-        pairs = _side(cells, "x").join(_side(cells if last else heads, "y"), "shingle").where(_allowed(num, den))
-        if last:
-            pairs = pairs.where("xpoint < ypoint")
+        pairs = _side(cells, "x").join(_side(heads, "y"), "shingle").where(_allowed(num, den))
         pairs = pairs.select(F.least("xpoint", "ypoint").alias("x"), F.greatest("xpoint", "ypoint").alias("y")).distinct()
         d = tables.save(measure(pairs, sets, num, den), f"distances{k}")
         links = links.union(d.where("linked").select("x", "y"))
-        if last:
-            break
         # the distance to one of the cell's pivots makes the windows of the rounds that follow
         pivot = heads.groupBy("shingle").agg(F.min("point").alias("pivot"))
         d = d.select("x", "y", (1 - F.col("common") / F.col("either")).alias("apart"))
@@ -314,7 +364,7 @@ def frequent_shingles(told: DataFrame) -> np.ndarray:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, rounds: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, rounds: int = 2
 ) -> DataFrame:
     """(id, n_shingles, component_id): smallest id that links of at least num/den similarity reach, one row per row of docs.
 

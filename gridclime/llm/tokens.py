@@ -118,11 +118,10 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     if len(hashes) < width:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(hashes) - width + 1, np.uint64)
-    factor = np.uint64(1)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            factor = factor * BASE
-            out += hashes[k : len(hashes) - width + 1 + k] * factor
+    factor = 1
+    for k in range(width):
+        factor = factor * int(BASE) % (1 << 64)
+        out += hashes[k : len(hashes) - width + 1 + k] * np.uint64(factor)
     return mix(out)
 
 
