@@ -11,45 +11,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A section ends after one paragraph in so many.
+#: A section ends after a paragraph whose hash starts with a character whose code this divides: two of sixteen.
 SECTION = 8
 PIECE = r"(?s).{1,24}?(?:[.!?;|]+\s+|\z)|.{1,24}(?:\s+|\z)|.{24}"
 
 
-def tree(text: Column) -> Column:
-    """struct(root, sections, paragraphs, pieces) of a text; null is empty. pieces are 64-bit hashes, the others SHA-256."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    paragraphs = F.transform(lines, lambda p: F.sha2(p, 256))
+def with_tree(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """Adds struct(root, sections, paragraphs, pieces) of a text; null is empty. pieces are 64-bit hashes, the others SHA-256.
+
+    Each level is a column of its own, as the functions inside an array function are evaluated once for each element.
+    """
+    lines, paragraphs, starts, sections, pieces = (F.col(f"_{k}") for k in ("lines", "paragraphs", "starts", "sections", "pieces"))
+    df = df.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+    df = df.withColumn("_paragraphs", F.transform(lines, lambda p: F.sha2(p, 256)))
     # a section starts at the first paragraph, a heading, after a blank line, or after a paragraph with a chosen hash
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda i: (i == 0)
-        | F.get(lines, i).startswith("#")
-        | (F.trim(F.get(lines, i - 1)) == "")
-        | (F.conv(F.substring(F.get(paragraphs, i - 1), 1, 4), 16, 10).cast("int") % SECTION == 0),
-    )
-    sections = F.transform(
-        starts,
-        lambda a, k: F.sha2(
-            F.array_join(F.slice(paragraphs, a + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - a), ""), 256
+    df = df.withColumn(
+        "_starts",
+        F.filter(
+            F.sequence(F.lit(0), F.size(lines) - 1),
+            lambda i: (i == 0)
+            | F.get(lines, i).startswith("#")
+            | (F.trim(F.get(lines, i - 1)) == "")
+            | (F.ascii(F.get(paragraphs, i - 1)) % SECTION == 0),
         ),
     )
-    pieces = F.flatten(
-        F.transform(lines, lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x)))
+    df = df.withColumn(
+        "_sections",
+        F.transform(
+            starts,
+            lambda a, k: F.sha2(F.array_join(F.slice(paragraphs, a + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - a), ""), 256),
+        ),
     )
-    return F.struct(
-        F.sha2(F.array_join(sections, ""), 256).alias("root"),
-        sections.alias("sections"),
-        paragraphs.alias("paragraphs"),
-        pieces.alias("pieces"),
+    df = df.withColumn(
+        "_pieces",
+        F.array_distinct(F.flatten(F.transform(lines, lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x))))),
     )
+    root = F.sha2(F.array_join(sections, ""), 256)
+    made = F.struct(root.alias("root"), sections.alias("sections"), paragraphs.alias("paragraphs"), pieces.alias("pieces"))
+    return df.withColumn(name, made).drop("_lines", "_paragraphs", "_starts", "_sections", "_pieces")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal roots, else the Dice coefficient of the two trees' distinct pieces, below 1; 0 if either has none."""
-    u, v = F.array_distinct(a["pieces"]), F.array_distinct(b["pieces"])
-    both = F.size(u) + F.size(v)
-    dice = F.when(both > 0, 2 * F.size(F.array_intersect(u, v)) / both).otherwise(0.0)
+    both = F.size(a["pieces"]) + F.size(b["pieces"])
+    dice = F.when(both > 0, 2 * F.size(F.array_intersect(a["pieces"], b["pieces"])) / both).otherwise(0.0)
     return F.when(a["root"] == b["root"], 1.0).otherwise(F.least(dice, F.lit(0.999999)))
 
 
@@ -109,11 +114,11 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("home", F.explode(homes)).select("id", "text", "home.at", "home.guest")
     order = Window.partitionBy("at").orderBy("guest", F.col("id").asc_nulls_first(), "text")
     # one exchange of texts; trees are made after it and meet within the same stretches
-    rows = rows.withColumn("next", F.lead("text").over(order)).withColumn("tree", tree(F.col("text")))
+    rows = with_tree(rows.withColumn("next", F.lead("text").over(order)), "text", "tree")
     rows = rows.withColumn("next_tree", F.lead(F.struct("tree.root", "tree.pieces")).over(order)).where("guest = 0")
     n_chars = F.length("text")
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next, int(length(text) div 2))")))
-    rows = rows.withColumn("edited_tree", tree(F.col("edited")))
+    rows = with_tree(rows, "edited", "edited_tree")
     return rows.select(
         F.col("id").alias(id_col),
         n_chars.cast("long").alias("n_chars"),
