@@ -357,10 +357,16 @@ def divide(large: DataFrame, links: DataFrame, sets: DataFrame, tables: Tables,
 
 def frequent_shingles(told: DataFrame) -> np.ndarray:
     """Filter of shingles that several points have. It only orders shingles, so what passes by chance does no harm."""
-    total = told.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    least = max(3, -(-8 * total // FREQUENT_BITS))
-    often = told.where("kind = 1").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return bit_filter(often, "hash", FREQUENT_BITS)
+    often = told.where("kind = 1").groupBy("hash").agg(F.sum("n").alias("n"))
+    # rows by powers of two of their counts: the most frequent ones that fill an eighth of the filter
+    sizes = often.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("m")).collect()
+    least, held = 64, 0
+    for r in sorted(sizes, key=lambda r: -r.power):
+        held += r.m
+        if held > FREQUENT_BITS // 8:
+            break
+        least = r.power
+    return bit_filter(often.where(F.col("n") >= 2.0**least), "hash", FREQUENT_BITS) if held else np.zeros(FREQUENT_BITS // 8, np.uint8)
 
 
 def jaccard_components(
