@@ -27,7 +27,7 @@ def order_bucket(df: DataFrame, column: str) -> Column:
         return c.cast("date")
     if isinstance(kind, T.NumericType):
         return F.floor(c / 1024)
-    return F.lit(0)
+    raise TypeError(f"{column} is {kind.simpleString()}; order by a date, a timestamp or a number")
 
 
 def _offsets(df: DataFrame, by: list[str], bucket: str, sums: dict[str, Column]) -> DataFrame:

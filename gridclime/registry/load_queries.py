@@ -285,28 +285,28 @@ def q_hydro_reference(spark, sf):
 
 def q_hydro_ratio(spark, sf):
     values = {"CC_Avg_Generation_GWh": 6, "Reference_Avg_Generation_GWh": 6, "CC_ratio": 6}
-    known = _ratios(spark, sf).where(F.col("CC_ratio").isNotNull())
+    known = _ratios(spark, sf)
     return shape(known, ["scenario", "generator_name", "period", "Month"], values)
 
 
 def q_map_generators(spark, sf):
-    known = _mapped(spark, sf).where(F.col("CC_ratio").isNotNull())
+    known = _mapped(spark, sf)
     return shape(known, ["scenario", "project", "load_zone_name", "period", "Month"], {"CC_ratio": 6})
 
 
 def q_zone_ratio(spark, sf):
-    zones = hy.zone_ratio(_mapped(spark, sf)).where(F.col("CC_ratio_lz_avg").isNotNull())
+    zones = hy.zone_ratio(_mapped(spark, sf))
     return shape(zones, ["scenario", "period", "Month", "load_zone_name"], {"CC_ratio_lz_avg": 6})
 
 
 def q_apply_ratio_with_fallback(spark, sf):
-    applied = _applied(spark, sf).where(F.col("CC_ratio_applied").isNotNull())
+    applied = _applied(spark, sf)
     values = {"CC_ratio_applied": 6, "hydro_avg_flow_mw_CC": 5, "hydro_min_flow_mw_CC": 5, "check_CC_cf": 5}
     return shape(applied, ["scenario", "hydro_project", "timeseries", "lookup_zone"], values)
 
 
 def q_derate_clamp(spark, sf):
-    adjusted = hy.adjusted_series(hy.derate_clamp(_applied(spark, sf))).where(F.col("hydro_avg_flow_mw").isNotNull())
+    adjusted = hy.adjusted_series(hy.derate_clamp(_applied(spark, sf)))
     values = {"hydro_min_flow_mw": 8, "hydro_avg_flow_mw": 8}
     return shape(adjusted, ["scenario", "hydro_project", "timeseries"], values)
 
@@ -352,17 +352,17 @@ def _guarded(spark, sf):
 def q_water_energy_delta(spark, sf):
     keys = ["scenario", "Year", "Month", "days_in_month", "load_zone", "file_kind", "sector", "included_energy"]
     values = {"CC_ElectricityUse_GWh": 8, "Reference_ElectricityUse_GWh": 8, "Delta_ElectricityUse_GWh": 8}
-    known = _monthly(spark, sf).where(F.col("Delta_ElectricityUse_GWh").isNotNull())
+    known = _monthly(spark, sf)
     return shape(known, keys, values)
 
 
 def q_hourly_disaggregate(spark, sf):
-    known = _hourly(spark, sf).where(F.col("Sampled_Delta_ElecUse_GWh").isNotNull())
+    known = _hourly(spark, sf)
     return shape(known, ["scenario", "timepoint_id", "load_zone"], {"Sampled_Delta_ElecUse_GWh": 9})
 
 
 def q_guarded_add(spark, sf):
-    known = _guarded(spark, sf).where(F.col("zone_demand_mw_with_CCdelta").isNotNull())
+    known = _guarded(spark, sf)
     return shape(
         known, ["scenario", "LOAD_ZONE", "TIMEPOINT"], {"zone_demand_mw_with_CCdelta": 6, "zone_demand_perc_change": 6}
     )
@@ -547,24 +547,24 @@ QUERIES = {
     "hydro_ratio": (
         q_hydro_ratio,
         with_sql("ratios", """SELECT scenario, generator_name, period, Month, round(cc_gwh, 6) AS CC_Avg_Generation_GWh,
-            round(ref_gwh, 6) AS Reference_Avg_Generation_GWh, round(ratio, 6) AS CC_ratio FROM ratios WHERE ratio IS NOT NULL"""),
+            round(ref_gwh, 6) AS Reference_Avg_Generation_GWh, round(ratio, 6) AS CC_ratio FROM ratios"""),
     ),
     "map_generators": (
         q_map_generators,
-        with_sql("mapped", "SELECT scenario, project, load_zone_name, period, Month, round(ratio, 6) AS CC_ratio FROM mapped WHERE ratio IS NOT NULL"),
+        with_sql("mapped", "SELECT scenario, project, load_zone_name, period, Month, round(ratio, 6) AS CC_ratio FROM mapped"),
     ),
     "zone_ratio": (
         q_zone_ratio,
-        with_sql("zone_ratios", "SELECT scenario, period, Month, load_zone_name, round(ratio, 6) AS CC_ratio_lz_avg FROM zone_ratios WHERE ratio IS NOT NULL"),
+        with_sql("zone_ratios", "SELECT scenario, period, Month, load_zone_name, round(ratio, 6) AS CC_ratio_lz_avg FROM zone_ratios"),
     ),
     "apply_ratio_with_fallback": (
         q_apply_ratio_with_fallback,
         with_sql("applied", """SELECT scenario, hydro_project, timeseries, lookup_zone, round(ratio, 6) AS CC_ratio_applied, round(avg_cc, 5) AS hydro_avg_flow_mw_CC,
-            round(min_cc, 5) AS hydro_min_flow_mw_CC, round(avg_cc / cap, 5) AS check_CC_cf FROM applied WHERE ratio IS NOT NULL"""),
+            round(min_cc, 5) AS hydro_min_flow_mw_CC, round(avg_cc / cap, 5) AS check_CC_cf FROM applied"""),
     ),
     "derate_clamp": (
         q_derate_clamp,
-        with_sql("clamped", "SELECT scenario, hydro_project, timeseries, round(min_cc, 8) AS hydro_min_flow_mw, round(avg_cc, 8) AS hydro_avg_flow_mw FROM clamped WHERE avg_cc IS NOT NULL"),
+        with_sql("clamped", "SELECT scenario, hydro_project, timeseries, round(min_cc, 8) AS hydro_min_flow_mw, round(avg_cc, 8) AS hydro_avg_flow_mw FROM clamped"),
     ),
     "capacity_factor_above_one": (
         q_capacity_factor_above_one,
@@ -581,16 +581,16 @@ QUERIES = {
     "water_energy_delta": (
         q_water_energy_delta,
         with_sql("use_delta", """SELECT scenario, Year, Month, dim AS days_in_month, load_zone, file_kind, sector, included_energy, round(cc, 8) AS CC_ElectricityUse_GWh,
-            round(ref, 8) AS Reference_ElectricityUse_GWh, round(delta, 8) AS Delta_ElectricityUse_GWh FROM use_delta WHERE delta IS NOT NULL"""),
+            round(ref, 8) AS Reference_ElectricityUse_GWh, round(delta, 8) AS Delta_ElectricityUse_GWh FROM use_delta"""),
     ),
     "hourly_disaggregate": (
         q_hourly_disaggregate,
-        with_sql("hourly_delta", "SELECT scenario, timepoint_id, load_zone, round(delta, 9) AS Sampled_Delta_ElecUse_GWh FROM hourly_delta WHERE delta IS NOT NULL"),
+        with_sql("hourly_delta", "SELECT scenario, timepoint_id, load_zone, round(delta, 9) AS Sampled_Delta_ElecUse_GWh FROM hourly_delta"),
     ),
     "guarded_add": (
         q_guarded_add,
         with_sql("guarded", """SELECT scenario, LOAD_ZONE, TIMEPOINT, round(new_mw, 6) AS zone_demand_mw_with_CCdelta,
-            round((new_mw - mw) / mw, 6) AS zone_demand_perc_change FROM guarded WHERE new_mw IS NOT NULL"""),
+            round((new_mw - mw) / mw, 6) AS zone_demand_perc_change FROM guarded"""),
     ),
     "annual_load_zone_month": (q_annual_load_zone_month, _report_sql(f"scenario, LOAD_ZONE, {_MONTH}, {_YEAR}", "1, 2, 3, 4")),
     "annual_load_zone_year": (q_annual_load_zone_year, _report_sql(f"scenario, LOAD_ZONE, {_YEAR}", "1, 2, 3")),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from ..operators import delta as de
 from ..operators import grouped, matching, ordered, reshape
 from ..plans import climate as cl
 from ..plans import compare as co
+from ..session import shared_folder
 from ..sources import sinks
 from ..sources.parameters import COMBINED_FAMILY, COOLING_FAMILY, WATER_FAMILY
 from ..sources.tables import read_table
@@ -266,14 +266,14 @@ def q_monthly_load_delta(spark, sf):
         "zone_demand_mw_perc_change_from_baseline": 3,
         "Delta_ZoneTotalCentralDispatch": 3,
     }
-    known = _monthly(spark, sf)["zone"].where(F.col("zone_demand_mw_baseline").isNotNull())
+    known = _monthly(spark, sf)["zone"]
     return shape(known, keys, values)
 
 
 def q_monthly_system_load_delta(spark, sf):
     keys = ["Scenario", "Month", "Year", "ts_period"]
     values = {"zone_demand_mw": 3, "zone_demand_mw_baseline": 3, "Delta_zone_demand_mw": 3, "Delta_perc_zone_demand_mw": 7}
-    known = _monthly(spark, sf)["system"].where(F.col("zone_demand_mw_baseline").isNotNull())
+    known = _monthly(spark, sf)["system"]
     return shape(known, keys, values)
 
 
@@ -393,7 +393,7 @@ def _climate(spark, sf):
 
 
 def q_catchment_climate(spark, sf):
-    known = _climate(spark, sf).where(F.col("avg_tavg_C").isNotNull())
+    known = _climate(spark, sf)
     values = {"tavg_C": 6, "Precip_km3": 9, "avg_tavg_C": 6, "avg_Precip_km3": 9, "total_catchment_area_km2": 2}
     return shape(known, ["Scenario", "Catchment_num", "Catchment_name", "Region", "Year", "Month"], values)
 
@@ -636,10 +636,8 @@ def q_negative_balance(spark, sf):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the cluster's shared checkpoints; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix=f"gridclime-{name}-")
+    """A new folder beside the cluster's shared checkpoints."""
+    base = shared_folder(spark)
     run = spark.sql("SELECT uuid()").first()[0]
     return f"{base.rstrip('/')}/gridclime-{name}-{run}"
 
@@ -784,12 +782,12 @@ QUERIES = {
         q_monthly_load_delta,
         with_sql("month_delta", """SELECT Scenario, load_zone, Month, Year, ts_period, round(demand, 3) AS zone_demand_mw, round(demand_b, 3) AS zone_demand_mw_baseline,
             round(demand_b - demand, 3) + 0.0 AS Delta_zone_demand_mw, round((demand_b - demand) / demand_b, 3) + 0.0 AS zone_demand_mw_perc_change_from_baseline,
-            round(central_b - central, 3) AS Delta_ZoneTotalCentralDispatch FROM month_delta WHERE demand_b IS NOT NULL"""),
+            round(central_b - central, 3) AS Delta_ZoneTotalCentralDispatch FROM month_delta"""),
     ),
     "monthly_system_load_delta": (
         q_monthly_system_load_delta,
         with_sql("system_month", """SELECT Scenario, Month, Year, ts_period, round(demand, 3) AS zone_demand_mw, round(base, 3) AS zone_demand_mw_baseline,
-            round(demand - base, 3) + 0.0 AS Delta_zone_demand_mw, round((demand - base) / base, 7) + 0.0 AS Delta_perc_zone_demand_mw FROM system_month WHERE base IS NOT NULL"""),
+            round(demand - base, 3) + 0.0 AS Delta_zone_demand_mw, round((demand - base) / base, 7) + 0.0 AS Delta_perc_zone_demand_mw FROM system_month"""),
     ),
     "duration_curve": (
         q_duration_curve,
@@ -866,7 +864,7 @@ QUERIES = {
     "catchment_climate": (
         q_catchment_climate,
         with_sql("catch_avg", """SELECT Scenario, num AS Catchment_num, name AS Catchment_name, region AS Region, y AS Year, m AS Month, round(tavg, 6) AS tavg_C, round(km3, 9) AS Precip_km3,
-            round(avg_t, 6) AS avg_tavg_C, round(avg_km3, 9) AS avg_Precip_km3, CAST(km2 AS DOUBLE) AS total_catchment_area_km2 FROM catch_avg WHERE avg_t IS NOT NULL"""),
+            round(avg_t, 6) AS avg_tavg_C, round(avg_km3, 9) AS avg_Precip_km3, CAST(km2 AS DOUBLE) AS total_catchment_area_km2 FROM catch_avg"""),
     ),
     "climate_delta_by_region": (
         q_climate_delta_by_region,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,13 +106,28 @@ DEMAND_COLUMNS = {
 def read_columns(
     spark: SparkSession, glob: str | list[str], columns: dict[str, str], **options: str
 ) -> DataFrame:
-    """Headered CSV files; the listed columns by name, cast to the listed types.
+    """Headered CSV files; the listed columns by the names in each file's own header, cast to the listed types.
 
-    Text that is not of the listed type becomes null. The path of each file is kept as ``path``.
+    Text that is not of the listed type becomes null; a listed column that a file lacks is null in its rows, and an
+    error if no file has it. The path of each file is kept as ``path``. Files with the same header are read together.
     """
-    raw = spark.read.options(header=True, nullValue="NA", **options).csv(glob)
-    picked = [F.col(f"`{c}`").try_cast(t).alias(c) for c, t in columns.items()]
-    return raw.select(*picked, decoded_path().alias("path"))
+    lines = spark.read.text(glob).where("_metadata.file_block_start = 0")
+    lines = lines.select(decoded_path().alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("file").agg(F.regexp_replace(F.min_by("value", "at"), "^\uFEFF", "").alias("head"))
+    heads = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    parts, known = [], set()
+    for row in heads.orderBy("head").toLocalIterator():
+        raw = spark.read.options(header=True, nullValue="NA", **options).csv(row.files)
+        known |= set(raw.columns)
+        picked = [
+            (F.col(f"`{c}`").try_cast(t) if c in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()
+        ]
+        parts.append(raw.select(*picked, decoded_path().alias("path")))
+    if lacking := [c for c in columns if parts and c not in known]:
+        raise ValueError(f"no file has the columns {lacking}")
+    if not parts:
+        raise FileNotFoundError(f"no CSV file with a header in {glob}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_degree_days(spark: SparkSession, glob: str | list[str]) -> DataFrame:

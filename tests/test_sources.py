@@ -131,3 +131,13 @@ def test_sampling_configuration(spark):
     assert tuple(parameters.period_frame(spark, s).first()) == (39, 1, 2028, "2030", 5, 2032)
     assert parameters.time_sample_frame(spark, s).first().method == "M1"
     assert parameters.study_frame(spark, s).first().description == "five periods"
+
+
+def test_csv_columns_are_read_by_each_files_own_header(spark, tmp_path):
+    for name, text in {"1": "a,b\n1,x\n", "2": "b,a\ny,2\n", "3 c": "a,z\n3,w\n"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "t.csv").write_text(text)
+    got = tables.read_columns(spark, f"{tmp_path}/*/t.csv", {"a": "int", "b": "string"})
+    assert sorted((r.a, r.b) for r in got.collect()) == [(1, "x"), (2, "y"), (3, None)]
+    with pytest.raises(ValueError):
+        tables.read_columns(spark, f"{tmp_path}/*/t.csv", {"a": "int", "q": "string"})
