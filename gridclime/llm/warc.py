@@ -25,7 +25,9 @@ READ = 1 << 20
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    if "://" not in uri or uri.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:(//)?", "", uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def decide(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataFrame:
