@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .store import Tables
 from .tokens import MIXED, Tokens, chunks, mix, tokenise
 
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 17
 #: Labelled rows that the model is fitted on, about; they are taken by a hash of their id.
 FIT_ROWS = 20_000
 SHARDS, ROUNDS = 8, 4
