@@ -19,8 +19,6 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_BYTES, WORD_BYTES = 12, 24
 #: Documents of a language that the model is fitted on, about.
 FIT_DOCS = 1000
-#: Bytes of text scored at a time; tokenise holds some ten times as much.
-CHUNK = 2 << 20
 
 
 class Pieces:
@@ -194,17 +192,18 @@ def scores(text: Column, model: tuple[Pieces, list[str], np.ndarray]) -> Column:
         pieces = SimpleNamespace(**fields)
         for column in batches:
             out = np.zeros((len(column), prob.shape[1]))
-            for first, last, data, offsets in chunks(column, CHUNK):
+            for first, last, data, offsets in chunks(column):
                 t = tokenise(data, offsets, WORDS)
                 if not len(t.hashes):
                     continue
                 starts, ends, hashes, word = cut_words(t.starts, t.ends, t.hashes)
                 _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                order, chars, lengths = rows_of(data, starts[at], ends[at])
                 value = np.empty((len(at), prob.shape[1]))
-                for a in range(0, len(order), 20_000):
-                    part = slice(a, a + 20_000)
-                    value[order[part]] = log_sums(pieces, prob, chars[part, : lengths[a]], lengths[part])
+                by_length = np.argsort(starts[at] - ends[at], kind="stable")
+                for a in range(0, len(at), 20_000):
+                    part = by_length[a : a + 20_000]
+                    order, chars, lengths = rows_of(data, starts[at[part]], ends[at[part]])
+                    value[part[order]] = log_sums(pieces, prob, chars, lengths)
                 doc = np.searchsorted(t.bounds, word, "right") - 1
                 for k in range(prob.shape[1]):
                     out[first:last, k] += np.bincount(doc, value[inverse, k], last - first)

@@ -17,7 +17,7 @@ class _Powers:
     """BASE**(i + 1) and BASE**-(i + 1) modulo 2**64, so that a token's hash does not depend on where it stands."""
 
     def __init__(self):
-        self.size, self.up, self.down = 2 * CHUNK_BYTES, None, None
+        self.size, self.up, self.down = CHUNK_BYTES, None, None
 
     def get(self) -> tuple[np.ndarray, np.ndarray]:
         if self.up is None:
