@@ -64,29 +64,37 @@ def scenario_delta(
 
     Adds ``Baseline_Scenario``, ``<measure>_baseline``, the difference and the relative change
     (x/0 infinite, 0/0 NaN). ``how='left'`` keeps scenario rows only, ``how='full'`` also gives
-    every scenario the baseline rows it lacks (retirements). ``mode`` may differ by measure.
+    every scenario the baseline rows it lacks (retirements). ``mode`` may differ by measure. The
+    baseline's other columns come along too, as ``<column>_baseline``.
 
-    The baseline has one row per key combination (see quality.duplicate_keys). The rows of a key
-    combination, one per scenario, meet in one shuffle of the given table, so whatever produced the
-    table runs once; null keys match null keys.
+    Several baseline rows of a key combination give as many rows each (see quality.duplicate_keys).
+    The rows of a key combination, one per scenario, meet in one shuffle of the given table, so
+    whatever produced the table runs once; null keys match null keys.
     """
     names = _names(measures)
     if how == "full":
         return _full_delta(df, baseline, keys, names, mode, ndigits, scenario, suffix)
     if how != "left":
         raise ValueError(f"unknown join {how!r}: use left or full")
-    found = F.when(F.col(scenario) == baseline, F.struct(*names)).alias("_row")
-    base = F.max(found).over(Window.partitionBy(*keys))
-    paired = df.withColumn("_base", base).where(F.col(scenario) != baseline)
+    carried = _carried(df, keys, scenario, suffix)
+    found = F.when(F.col(scenario) == baseline, F.struct(*carried))
+    bases = F.collect_list(found).over(Window.partitionBy(*keys))
+    paired = df.withColumn("_bases", bases).where(F.col(scenario) != baseline)
+    paired = paired.withColumn("_base", F.explode_outer("_bases"))
     both = paired.withColumns(
         {
             "Baseline_Scenario": F.when(F.col("_base").isNotNull(), F.lit(baseline)),
-            **{f"{m}{suffix}": F.col(f"_base.{m}") for m in names},
+            **{f"{m}{suffix}": F.col(f"_base.{m}") for m in carried},
         }
-    ).drop("_base")
+    ).drop("_base", "_bases")
     return add_differences(both, names, mode, ndigits, suffix)
 
 
+def _carried(df: DataFrame, keys: list[str], scenario: str, suffix: str) -> list[str]:
+    """Columns of which the baseline's value is put beside the scenario's."""
+    return [c for c in df.columns if c not in (*keys, scenario) and f"{c}{suffix}" not in df.columns]
+
+
 def _full_delta(
     df: DataFrame,
     baseline: str,
@@ -100,7 +108,7 @@ def _full_delta(
     base = df.where(F.col(scenario) == baseline).select(
         *keys,
         F.col(scenario).alias("Baseline_Scenario"),
-        *[F.col(m).alias(f"{m}{suffix}") for m in names],
+        *[F.col(m).alias(f"{m}{suffix}") for m in _carried(df, keys, scenario, suffix)],
     )
     others = df.where(F.col(scenario) != baseline)
     scenarios = others.agg(F.collect_set(scenario)).scalar()

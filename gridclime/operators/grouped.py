@@ -62,17 +62,18 @@ def nearest_to_median(df: DataFrame, value: str, by: list[str], order: str, ndig
 def five_number(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Exact minimum, quartiles and maximum (linear interpolation) of each group.
 
-    Works on ranks from a distributed sort; an aggregate that keeps all values of a group in one
-    buffer would not survive a group with a third of the rows.
+    Equal values of a group are counted first, so that a value with most of the rows is one row; ranks come from a
+    distributed sort of the distinct values.
     """
-    present = df.where(F.col(value).isNotNull()).select(*by, value)
-    ranked = with_rank(present, by, [F.col(value).asc()], rank="_rank", size="_size")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count"))
+    ranked = with_rank(counts, by, [F.col(value).asc()], rank="_rank", size="_size", weight="_count")
+    before = F.col("_rank") - F.col("_count")
     span = F.col("_size") - 1
     picks, needed = [], F.lit(False)
     for name, p in FIVE.items():
         low = F.floor(span * p) + 1
         high = F.ceil(span * p) + 1
-        at_low, at_high = F.col("_rank") == low, F.col("_rank") == high
+        at_low, at_high = ((before < at) & (at <= F.col("_rank")) for at in (low, high))
         needed = needed | at_low | at_high
         picks.append((name, p, at_low, at_high))
     few = ranked.where(needed)

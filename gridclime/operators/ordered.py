@@ -17,8 +17,12 @@ from .matching import match
 CHUNK = 512  # least number of phase steps per window partition of strided_mean
 
 
-def order_bucket(df: DataFrame, column: str) -> Column:
-    """A coarse value that never decreases along ``column``: month, day or a run of 1024 numbers."""
+def order_bucket(df: DataFrame, order: str | list[str]) -> Column:
+    """A coarse value that never decreases along the order: month, day or a run of 1024 numbers.
+
+    A number that other order columns follow (the year of a month) is a bucket of its own.
+    """
+    column, *finer = [order] if isinstance(order, str) else order
     kind = df.schema[column].dataType
     c = F.col(column)
     if isinstance(kind, T.DateType):
@@ -26,7 +30,7 @@ def order_bucket(df: DataFrame, column: str) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
     if isinstance(kind, T.NumericType):
-        return F.floor(c / 1024)
+        return c if finer else F.floor(c / 1024)
     raise TypeError(f"{column} is {kind.simpleString()}; order by a date, a timestamp or a number")
 
 
@@ -52,7 +56,7 @@ def with_position(
 
     ``bucket`` may be any expression that never decreases along the order.
     """
-    cut = df.withColumn("_bucket", order_bucket(df, order[0]) if bucket is None else bucket)
+    cut = df.withColumn("_bucket", order_bucket(df, order) if bucket is None else bucket)
     offsets = _offsets(cut, by, "_bucket", {"_n": F.count(F.lit(1))})
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
     numbered = cut.withColumn("_inside", F.row_number().over(inside))
@@ -137,7 +141,7 @@ def running_total(
         so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         missing = F.count(F.when(F.col(value).isNull(), 1)).over(so_far)
         return df.withColumn(name, F.when(missing == 0, F.sum(value).over(so_far)))
-    cut = df.withColumn("_bucket", order_bucket(df, order[0]) if bucket is None else bucket)
+    cut = df.withColumn("_bucket", order_bucket(df, order) if bucket is None else bucket)
     v = F.col(value)
     sums = {"_s": F.coalesce(F.sum(v), F.lit(0.0)), "_m": F.count(F.when(v.isNull(), 1))}
     offsets = _offsets(cut, by, "_bucket", sums)
@@ -156,13 +160,13 @@ def running_total(
 
 
 def with_rank(
-    df: DataFrame, by: list[str], order: list[Column], rank: str = "rank", size: str | None = None
+    df: DataFrame, by: list[str], order: list[Column], rank: str = "rank", size: str | None = None, weight: str | None = None
 ) -> DataFrame:
     """1-based rank inside each group under any order, however large the group.
 
     One distributed sort spreads a group over as many tasks as it needs; the sorted rows and their
     sequence numbers are frozen in a reliable checkpoint, and each (group, task) run gets its offset
-    from a table with one row per run.
+    from a table with one row per run. A row of ``weight`` n stands for n equal rows and gets the rank of the last.
     """
     ensure_checkpoint_dir(df.sparkSession)
     frozen = (
@@ -170,7 +174,8 @@ def with_rank(
         .withColumns({"_run": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
         .checkpoint()
     )
-    runs = frozen.groupBy(*by, "_run").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    runs = frozen.groupBy(*by, "_run").agg(F.min("_seq").alias("_first"), n.alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = runs.select(
@@ -180,12 +185,13 @@ def with_rank(
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias("_total"),
     )
-    ranked = match(frozen, offsets, [*by, "_run"]).withColumn(
-        rank, F.col("_seq") - F.col("_first") + F.col("_before") + 1
-    )
+    if weight is not None:
+        frozen = frozen.withColumn("_inside", F.sum(weight).over(Window.partitionBy(*by, "_run").orderBy("_seq")))
+    inside = F.col("_seq") - F.col("_first") + 1 if weight is None else F.col("_inside")
+    ranked = match(frozen, offsets, [*by, "_run"]).withColumn(rank, inside + F.col("_before"))
     if size:
         ranked = ranked.withColumn(size, F.col("_total"))
-    return ranked.drop("_run", "_seq", "_first", "_before", "_total")
+    return ranked.drop("_run", "_seq", "_first", "_before", "_total", "_inside")
 
 
 def duration_curve(df: DataFrame, value: str, by: list[str], tiebreak: list[str], name: str = "counter") -> DataFrame:

@@ -531,7 +531,7 @@ def zone_map_table(
 def zone_source_mix(
     map_table: DataFrame, scenario: str, period: int = 2050, sources: list[str] | None = None
 ) -> DataFrame:
-    """Baseline capacity per source in one row per zone; the radius makes areas proportional to it.
+    """Baseline capacity per source in one row per zone; the radius makes areas proportional to the baseline's zone total.
 
     Missing capacities are left out of the sums; a source the zone lacks is 0.
     """
@@ -540,7 +540,7 @@ def zone_source_mix(
     value = "GenCapacityCumulative_MW_baseline"
     sources = sources or [s for s in ENERGY_SOURCES if s != "Curtailment"]
     wide = pivot_fill(chosen, keys, "gen_energy_source", value, sources, fill=0.0, skip_nulls=True)
-    total = chosen.groupBy(*keys).agg(F.sum(value).alias("Total_Lz_GenCap_MW_baseline"))
+    total = chosen.groupBy(*keys).agg(F.max("Total_Lz_GenCap_MW_baseline").alias("Total_Lz_GenCap_MW_baseline"))
     return match(wide, total, keys).withColumn("radius", F.sqrt(F.col("Total_Lz_GenCap_MW_baseline") / F.lit(pi)))
 
 

@@ -93,20 +93,22 @@ def hourly_disaggregate(monthly: DataFrame, timepoints: DataFrame, weights: Data
     """Daily share of the monthly change times the weight of the hour, summed per timepoint and zone.
 
     ``timepoints`` has timepoint_id and the compact timestamp. Rows whose included use is "None" are
-    left out. The weights are attached to the monthly rows by hour, so a row meets only the
-    timepoints of its own month and hour.
+    left out. The changes are summed to one row per month, hour of day and zone before they meet the
+    timepoints of that month and hour. A missing weight leaves the hour's sum undefined.
     """
     points = with_compact_parts(timepoints).select("timepoint_id", "Year", "Month", "Hour_UTC")
     used = monthly.where(F.col("included_energy") != "None")
     hours = weights.withColumnRenamed("Hour", "Hour_UTC")
-    keyed = match(points, used, ["Year", "Month"], "inner")
+    keyed = used.withColumn("Hour_UTC", F.explode(F.sequence(F.lit(0), F.lit(23))))
     weighted = match(keyed, hours, ["Hour_UTC", "sector", "included_energy", "file_kind"])
     share = F.col("Delta_ElectricityUse_GWh") / F.col("days_in_month") * F.col("hourly_weight_per_day")
-    return (
+    hourly = (
         weighted.withColumn("_share", share)
-        .groupBy("scenario", "timepoint_id", "load_zone")
+        .groupBy("scenario", "Year", "Month", "Hour_UTC", "load_zone")
         .agg(na_sum("_share").alias("Sampled_Delta_ElecUse_GWh"))
     )
+    found = match(points, hourly, ["Year", "Month", "Hour_UTC"], "inner", nullable=False)
+    return found.select("scenario", "timepoint_id", "load_zone", "Sampled_Delta_ElecUse_GWh")
 
 
 def guarded_add(

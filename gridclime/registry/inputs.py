@@ -271,10 +271,7 @@ def nearest_zones(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hydro_series(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where(
-        (F.col("l_linestatus") == "O") & F.year("l_shipdate").isin(YEARS)
-    )
-    return lines.groupBy(
+    return table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("hydro_project"), F.date_format("l_shipdate", "yyyy'_M'MM").alias("timeseries")
     ).agg(
         (F.sum("l_extendedprice") / 9973).alias("hydro_avg_flow_mw"),
@@ -287,9 +284,8 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def month_timepoints(spark: SparkSession, sf: str) -> DataFrame:
-    """First order date of every month and priority in the sampled years."""
-    orders = table(spark, sf, "orders").where(F.year("o_orderdate").isin(YEARS))
-    firsts = orders.groupBy(
+    """First order date of every month and priority."""
+    firsts = table(spark, sf, "orders").groupBy(
         "o_orderpriority", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")
     ).agg(F.min("o_orderdate").alias("first"))
     return firsts.select(
@@ -348,9 +344,9 @@ def object_mapping(spark: SparkSession, sf: str) -> DataFrame:
 
 def water_timepoints(spark: SparkSession, sf: str) -> DataFrame:
     hour = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber"))
-    lines = table(spark, sf, "lineitem").where(F.year("l_shipdate").isin(YEARS))
     return (
-        lines.select(
+        table(spark, sf, "lineitem")
+        .select(
             F.date_format(hour, "yyyyMMddHH").alias("timestamp"), F.date_format(hour, "'TS_'yyyy'_'MM").alias("timeseries")
         )
         .distinct()
@@ -401,7 +397,6 @@ def loads(spark: SparkSession, sf: str) -> DataFrame:
     hour = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber"))
     return (
         table(spark, sf, "lineitem")
-        .where(F.year("l_shipdate").isin(YEARS))
         .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(word_zone(part_word()).alias("LOAD_ZONE"), F.date_format(hour, "yyyyMMddHH").cast("int").alias("TIMEPOINT"))
         .agg((F.sum("l_extendedprice") / 10000).alias("zone_demand_mw"))
@@ -770,7 +765,7 @@ SQL = {
     "zone_ratios": """SELECT scenario, period, Month, load_zone_name, avg(ratio) AS ratio FROM mapped GROUP BY 1, 2, 3, 4""",
     "hydro": """SELECT l_suppkey AS hydro_project, strftime(l_shipdate, '%Y_M%m') AS timeseries, year(l_shipdate) AS y, month(l_shipdate) AS m,
         sum(l_extendedprice) / 9973 AS avg_flow, min(l_extendedprice) / 9973 AS min_flow FROM lineitem
-        WHERE l_linestatus = 'O' AND year(l_shipdate) IN (1996, 1998, 2000) GROUP BY 1, 2, 3, 4""",
+        GROUP BY 1, 2, 3, 4""",
     "proj": """SELECT s_suppkey AS project, n_name AS zone, (s_acctbal + 1000) / 499 AS cap,
         1 - (0.05 + CASE WHEN s_acctbal > 5000 THEN 0.1 ELSE 0.02 END) AS avail FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "nearest": """SELECT a.n_name AS zone, b.n_name AS near FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_regionkey = 0""",
@@ -819,7 +814,7 @@ SQL = {
           WHERE u.included_energy <> 'None') GROUP BY 1, 2, 3""",
     "zone_load": f"""SELECT {WORD_ZONE} AS LOAD_ZONE,
         CAST(strftime(l_shipdate + l_linenumber * INTERVAL 1 HOUR, '%Y%m%d%H') AS INTEGER) AS TIMEPOINT, sum(l_extendedprice) / 10000 AS mw
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) IN (1996, 1998, 2000) GROUP BY 1, 2""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     "guarded": """SELECT s.scenario, l.LOAD_ZONE, l.TIMEPOINT, l.mw, CASE WHEN l.mw + d.delta * 1000 < 0 THEN l.mw ELSE l.mw + d.delta * 1000 END AS new_mw
         FROM zone_load l JOIN (SELECT DISTINCT l_returnflag AS scenario FROM lineitem) s ON true
         LEFT JOIN hourly_delta d ON d.scenario = s.scenario AND d.load_zone = l.LOAD_ZONE AND d.timepoint_id = l.TIMEPOINT""",

@@ -81,14 +81,12 @@ def q_climatology_delta(spark, sf):
 
 
 def q_averaged_delta(spark, sf):
-    known = _delta(spark, sf).where(F.col("delta_degree_day_C").isNotNull())
-    return shape(dd.averaged_delta(known), DAILY_KEYS, {"avg_delta_degree_day_C": 6})
+    return shape(dd.averaged_delta(_delta(spark, sf)), DAILY_KEYS, {"avg_delta_degree_day_C": 6})
 
 
 def q_averaged_delta_nulls(spark, sf):
     averaged = dd.averaged_delta(_delta(spark, sf), stride=7, half_width=2)
-    kept = averaged.where(F.col("avg_delta_degree_day_C").isNotNull())
-    return shape(kept, DAILY_KEYS, {"avg_delta_degree_day_C": 6})
+    return shape(averaged, DAILY_KEYS, {"avg_delta_degree_day_C": 6})
 
 
 def _monthly_revenue(spark, sf):
@@ -319,8 +317,7 @@ def q_capacity_factor_above_one(spark, sf):
 def q_reserve_value(spark, sf):
     series = hy.adjusted_series(hy.derate_clamp(_applied(spark, sf)))
     values = hy.reserve_value(series, i.projects(spark, sf), i.month_timepoints(spark, sf))
-    known = values.where(F.col("gen_capacity_value").isNotNull())
-    return shape(known, ["scenario", "GENERATION_PROJECT", "timepoint"], {"gen_capacity_value": 5})
+    return shape(values, ["scenario", "GENERATION_PROJECT", "timepoint"], {"gen_capacity_value": 5})
 
 
 # ---- electricity for water ----------------------------------------------------------------------
@@ -345,8 +342,8 @@ def _hourly(spark, sf):
     return wl.hourly_disaggregate(_monthly(spark, sf), points, _weights(spark, sf))
 
 
-def _guarded(spark, sf):
-    return wl.guarded_add(i.loads(spark, sf), _hourly(spark, sf), i.runs(spark, sf))
+def _guarded(spark, sf, fill_missing=None):
+    return wl.guarded_add(i.loads(spark, sf), _hourly(spark, sf), i.runs(spark, sf), fill_missing)
 
 
 def q_water_energy_delta(spark, sf):
@@ -368,9 +365,10 @@ def q_guarded_add(spark, sf):
     )
 
 
-def _report(spark, sf):
-    known = _guarded(spark, sf).where(F.col("zone_demand_mw_with_CCdelta").isNotNull())
-    return wl.annual_load_report(known, i.water_timepoints(spark, sf), i.water_timeseries(spark, sf))
+def _report(spark, sf, fill_missing=0.0):
+    """Loads without a change count in full; without ``fill_missing`` they leave their totals undefined."""
+    guarded = _guarded(spark, sf, fill_missing)
+    return wl.annual_load_report(guarded, i.water_timepoints(spark, sf), i.water_timeseries(spark, sf))
 
 
 REPORT_VALUES = {
@@ -381,7 +379,7 @@ REPORT_VALUES = {
 
 
 def q_annual_load_zone_month(spark, sf):
-    return shape(_report(spark, sf)["zone_month"], ["scenario", "LOAD_ZONE", "Month", "Year"], REPORT_VALUES)
+    return shape(_report(spark, sf, None)["zone_month"], ["scenario", "LOAD_ZONE", "Month", "Year"], REPORT_VALUES)
 
 
 def q_annual_load_zone_year(spark, sf):
@@ -400,13 +398,13 @@ def q_unmapped_objects(spark, sf):
     )
 
 
-def _report_sql(keys: str, groups: str) -> str:
+def _report_sql(keys: str, groups: str, new: str = "sum(coalesce(new_mw, mw) * scale / 5)") -> str:
     return with_sql(
         "guarded points series",
-        f"""SELECT {keys}, round(sum(new_mw * scale / 5), 3) AS scaled_zone_demand_mw_with_CCdelta, round(sum(mw * scale / 5), 3) AS scaled_zone_demand_mw,
-        round(sum(new_mw * scale / 5) - sum(mw * scale / 5), 3) AS scaled_zone_CCdeltademand_mw
+        f"""SELECT {keys}, round({new}, 3) AS scaled_zone_demand_mw_with_CCdelta, round(sum(mw * scale / 5), 3) AS scaled_zone_demand_mw,
+        round({new} - sum(mw * scale / 5), 3) AS scaled_zone_CCdeltademand_mw
         FROM guarded g JOIN points p ON g.TIMEPOINT = CAST(p.timestamp AS INTEGER) JOIN series s ON p.timeseries = s.timeseries
-        WHERE new_mw IS NOT NULL GROUP BY {groups}""",
+        GROUP BY {groups}""",
     )
 
 
@@ -432,13 +430,13 @@ QUERIES = {
         with_sql(
             "delta_daily",
             f"""SELECT a.Scenario, a.load_zone, strftime(a.Date, '%Y-%m-%d') AS Date, a.degree_day_type,
-            round(avg(b.v), 6) + 0.0 AS avg_delta_degree_day_C FROM series a LEFT JOIN series b ON a.Scenario = b.Scenario AND a.load_zone = b.load_zone
+            round(CASE WHEN count(*) = count(b.v) THEN avg(b.v) END, 6) + 0.0 AS avg_delta_degree_day_C FROM series a LEFT JOIN series b ON a.Scenario = b.Scenario AND a.load_zone = b.load_zone
               AND a.degree_day_type = b.degree_day_type AND a.p % 365 = b.p % 365 AND abs(a.p - b.p) <= 1825 AND b.p < b.n GROUP BY 1, 2, 3, 4""",
         ).replace(
             " SELECT a.Scenario",
             """, series AS (SELECT Scenario, load_zone, Date, degree_day_type, delta_degree_day_C AS v,
               row_number() OVER (PARTITION BY Scenario, load_zone, degree_day_type ORDER BY Date) AS p,
-              count(*) OVER (PARTITION BY Scenario, load_zone, degree_day_type) AS n FROM delta_daily WHERE delta_degree_day_C IS NOT NULL)
+              count(*) OVER (PARTITION BY Scenario, load_zone, degree_day_type) AS n FROM delta_daily)
             SELECT a.Scenario""",
         ),
     ),
@@ -447,9 +445,9 @@ QUERIES = {
         with_sql(
             "delta_daily",
             f"""SELECT a.Scenario, a.load_zone, strftime(a.Date, '%Y-%m-%d') AS Date, a.degree_day_type,
-            round(avg(b.v), 6) + 0.0 AS avg_delta_degree_day_C FROM series a JOIN series b ON a.Scenario = b.Scenario AND a.load_zone = b.load_zone
+            round(CASE WHEN count(*) = count(b.v) THEN avg(b.v) END, 6) + 0.0 AS avg_delta_degree_day_C FROM series a LEFT JOIN series b ON a.Scenario = b.Scenario AND a.load_zone = b.load_zone
               AND a.degree_day_type = b.degree_day_type AND a.p % 7 = b.p % 7 AND abs(a.p - b.p) <= 14 AND b.p < b.n
-            GROUP BY 1, 2, 3, 4 HAVING count(*) = count(b.v)""",
+            GROUP BY 1, 2, 3, 4""",
         ).replace(
             " SELECT a.Scenario",
             """, series AS (SELECT Scenario, load_zone, Date, degree_day_type, delta_degree_day_C AS v,
@@ -573,10 +571,9 @@ QUERIES = {
     "reserve_value": (
         q_reserve_value,
         with_sql("clamped", """SELECT scenario, hydro_project AS GENERATION_PROJECT, timepoint, round(cf, 5) AS gen_capacity_value FROM (
-              SELECT scenario, hydro_project, y, m, avg(avg_cc / cap) AS cf FROM clamped WHERE avg_cc IS NOT NULL GROUP BY 1, 2, 3, 4) c
-            JOIN (SELECT DISTINCT CAST(strftime(first, '%Y%m%d') AS BIGINT) AS timepoint, y, m FROM (
-              SELECT o_orderpriority, year(o_orderdate) AS y, month(o_orderdate) AS m, min(o_orderdate) AS first FROM orders
-              WHERE year(o_orderdate) IN (1996, 1998, 2000) GROUP BY 1, 2, 3)) t ON t.y = c.y AND t.m = c.m"""),
+              SELECT scenario, hydro_project, y, m, avg(avg_cc / cap) AS cf FROM clamped GROUP BY 1, 2, 3, 4) c
+            RIGHT JOIN (SELECT DISTINCT CAST(strftime(first, '%Y%m%d') AS BIGINT) AS timepoint, y, m FROM (
+              SELECT o_orderpriority, year(o_orderdate) AS y, month(o_orderdate) AS m, min(o_orderdate) AS first FROM orders GROUP BY 1, 2, 3)) t ON t.y = c.y AND t.m = c.m"""),
     ),
     "water_energy_delta": (
         q_water_energy_delta,
@@ -592,7 +589,7 @@ QUERIES = {
         with_sql("guarded", """SELECT scenario, LOAD_ZONE, TIMEPOINT, round(new_mw, 6) AS zone_demand_mw_with_CCdelta,
             round((new_mw - mw) / mw, 6) AS zone_demand_perc_change FROM guarded"""),
     ),
-    "annual_load_zone_month": (q_annual_load_zone_month, _report_sql(f"scenario, LOAD_ZONE, {_MONTH}, {_YEAR}", "1, 2, 3, 4")),
+    "annual_load_zone_month": (q_annual_load_zone_month, _report_sql(f"scenario, LOAD_ZONE, {_MONTH}, {_YEAR}", "1, 2, 3, 4", "CASE WHEN count(*) = count(new_mw) THEN sum(new_mw * scale / 5) END")),
     "annual_load_zone_year": (q_annual_load_zone_year, _report_sql(f"scenario, LOAD_ZONE, {_YEAR}", "1, 2, 3")),
     "annual_load_system_year": (q_annual_load_system_year, _report_sql(f"scenario, {_YEAR}", "1, 2")),
     "unmapped_objects": (

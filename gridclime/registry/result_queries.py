@@ -47,6 +47,7 @@ def q_capacity_online_delta(spark, sf):
     values = {
         "GenCapacityCumulative_MW": 2,
         "GenCapacityCumulative_MW_baseline": 2,
+        "Total_Lz_GenCap_MW_baseline": 2,
         "Delta_GenCapacity_MW": 2,
         "GenCap_perc_change_from_baseline": 3,
     }
@@ -313,7 +314,7 @@ def _seasonal_delta(spark, sf, dense):
 
 def q_seasonal_dispatch_delta(spark, sf):
     keys = ["Scenario", "Season", "period", "Hour_local", "day_type", "gen_energy_source"]
-    known = _seasonal_delta(spark, sf, False).where(F.col("DispatchGen_MW_baseline") != 0)
+    known = _seasonal_delta(spark, sf, False)
     values = {"DispatchGen_MW": 5, "Delta_DispatchGen_MW": 5, "DispatchGen_perc_change_from_baseline": 3}
     return shape(known, keys, values)
 
@@ -558,22 +559,19 @@ def q_to_long(spark, sf):
 
 
 def q_pivot_fill(spark, sf):
-    few = table(spark, sf, "orders").where(F.col("o_totalprice") < 2500)
-    wide = reshape.pivot_fill(
-        few.withColumn("y", F.year("o_orderdate")), ["y", "o_orderpriority"], "o_orderstatus", "o_totalprice", ["F", "O", "P"]
-    )
-    return shape(wide, ["y", "o_orderpriority"], {"F": 2, "O": 2, "P": 2})
+    daily = table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    wide = reshape.pivot_fill(daily, ["day", "o_orderpriority"], "o_orderstatus", "o_totalprice", ["F", "O", "P"])
+    return shape(wide, ["day", "o_orderpriority"], {"F": 2, "O": 2, "P": 2})
 
 
 def q_densify(spark, sf):
-    few = (
+    daily = (
         table(spark, sf, "orders")
-        .where(F.col("o_totalprice") < 2500)
-        .groupBy("o_orderpriority", "o_orderstatus", F.year("o_orderdate").alias("y"))
+        .groupBy("o_orderpriority", "o_orderstatus", F.col("o_orderdate").cast("date").alias("day"))
         .agg(F.sum("o_totalprice").alias("price"))
     )
-    dense = matching.densify(few, ["o_orderpriority", "o_orderstatus", "y"], {"price": 0.0})
-    return shape(dense, ["o_orderpriority", "o_orderstatus", "y"], {"price": 2})
+    dense = matching.densify(daily, ["o_orderpriority", "o_orderstatus", "day"], {"price": 0.0})
+    return shape(dense, ["o_orderpriority", "o_orderstatus", "day"], {"price": 2})
 
 
 def q_recode_sources(spark, sf):
@@ -702,7 +700,9 @@ QUERIES = {
     "capacity_online_delta": (
         q_capacity_online_delta,
         with_sql("cap_delta", """SELECT Scenario, Baseline_Scenario, PERIOD, gen_load_zone, source AS gen_energy_source, round(mw, 2) AS GenCapacityCumulative_MW,
-            round(base_mw, 2) AS GenCapacityCumulative_MW_baseline, round(mw - base_mw, 2) AS Delta_GenCapacity_MW, round((mw - base_mw) / base_mw, 3) + 0.0 AS GenCap_perc_change_from_baseline FROM cap_delta"""),
+            round(base_mw, 2) AS GenCapacityCumulative_MW_baseline, round(mw - base_mw, 2) AS Delta_GenCapacity_MW, round((mw - base_mw) / base_mw, 3) + 0.0 AS GenCap_perc_change_from_baseline,
+            round(total, 2) AS Total_Lz_GenCap_MW_baseline FROM cap_delta LEFT JOIN (SELECT gen_load_zone AS tz, PERIOD AS tp, sum(mw) AS total FROM cap_zone WHERE Scenario = '5-LOW' GROUP BY 1, 2)
+              ON tz = gen_load_zone AND tp = PERIOD AND base_mw IS NOT NULL"""),
     ),
     "capacity_online_system_delta": (
         q_capacity_online_system_delta,
@@ -810,7 +810,7 @@ QUERIES = {
     "seasonal_dispatch_delta": (
         q_seasonal_dispatch_delta,
         with_sql("season_delta", f"""SELECT {_SEASON_KEYS}, round(mw, 5) AS DispatchGen_MW, round(mw - base, 5) + 0.0 AS Delta_DispatchGen_MW,
-            round((mw - base) / base, 3) + 0.0 AS DispatchGen_perc_change_from_baseline FROM season_delta WHERE base <> 0"""),
+            round((mw - base) / base, 3) + 0.0 AS DispatchGen_perc_change_from_baseline FROM season_delta"""),
     ),
     "seasonal_dispatch_dense": (
         q_seasonal_dispatch_dense,
@@ -857,7 +857,8 @@ QUERIES = {
     ),
     "zone_source_mix": (
         q_zone_source_mix,
-        with_sql("cap_delta", f"""SELECT PERIOD, gen_load_zone, X, Y, {_wide_sql(_SOURCES, 'base_mw', 'source', 2)}, round(sqrt(sum(base_mw) / pi()), 6) AS radius FROM cap_delta
+        with_sql("cap_delta", f"""SELECT PERIOD, gen_load_zone, X, Y, {_wide_sql(_SOURCES, 'base_mw', 'source', 2)}, round(sqrt(max(total) / pi()), 6) AS radius FROM cap_delta LEFT JOIN (SELECT gen_load_zone AS tz, PERIOD AS tp, sum(mw) AS total FROM cap_zone WHERE Scenario = '5-LOW' GROUP BY 1, 2)
+              ON tz = gen_load_zone AND tp = PERIOD AND base_mw IS NOT NULL
             JOIN (SELECT {i.sql_choose("n_regionkey", i.ZONES)} AS zone, count(*) AS X, count(DISTINCT s_nationkey) AS Y FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
             ON zone = gen_load_zone WHERE Scenario = '1-URGENT' AND PERIOD = 1998 GROUP BY 1, 2, 3, 4"""),
     ),
@@ -947,15 +948,15 @@ QUERIES = {
     ),
     "pivot_fill": (
         q_pivot_fill,
-        """SELECT year(o_orderdate) AS y, o_orderpriority, round(coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 0), 2) AS F,
+        """SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority, round(coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 0), 2) AS F,
         round(coalesce(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 0), 2) AS O, round(coalesce(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 0), 2) AS P
-        FROM orders WHERE o_totalprice < 2500 GROUP BY 1, 2""",
+        FROM orders GROUP BY 1, 2""",
     ),
     "densify": (
         q_densify,
-        """WITH s AS (SELECT o_orderpriority, o_orderstatus, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders WHERE o_totalprice < 2500 GROUP BY 1, 2, 3)
-        SELECT a.o_orderpriority, b.o_orderstatus, c.y, round(coalesce(v, 0), 2) AS price FROM (SELECT DISTINCT o_orderpriority FROM s) a, (SELECT DISTINCT o_orderstatus FROM s) b,
-        (SELECT DISTINCT y FROM s) c LEFT JOIN s ON s.o_orderpriority = a.o_orderpriority AND s.o_orderstatus = b.o_orderstatus AND s.y = c.y""",
+        """WITH s AS (SELECT o_orderpriority, o_orderstatus, CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3)
+        SELECT a.o_orderpriority, b.o_orderstatus, strftime(c.d, '%Y-%m-%d') AS day, round(coalesce(v, 0), 2) AS price FROM (SELECT DISTINCT o_orderpriority FROM s) a, (SELECT DISTINCT o_orderstatus FROM s) b,
+        (SELECT DISTINCT d FROM s) c LEFT JOIN s ON s.o_orderpriority = a.o_orderpriority AND s.o_orderstatus = b.o_orderstatus AND s.d = c.d""",
     ),
     "recode_sources": (
         q_recode_sources,

@@ -21,7 +21,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _normal(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else float(value)
+        return "NaN" if math.isnan(value) else float(value)
     return value
 
 

@@ -217,3 +217,33 @@ def test_quality(spark):
     assert quality.group_counts(df, ["k"], expected=2).first().k == 2
     assert tuple(quality.dropped_for_nulls(df, ["v"]).first()) == (3, 2, 1)
     assert quality.negative_demand(df, "v").count() == 1
+
+
+def test_five_number_counts_equal_values_once(spark):
+    values = [7.0] * 900 + [float(v) for v in range(100)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", None)], "g string, v double")
+    got = {r.g: tuple(r)[1:] for r in grouped.five_number(df, "v", ["g"]).collect()}
+    ordered_values = sorted(values)
+
+    def quantile(p):
+        at = p * (len(values) - 1)
+        low = ordered_values[int(at)]
+        return low + (ordered_values[min(int(at) + 1, len(values) - 1)] - low) * (at - int(at))
+
+    assert got == {"a": (1000, *[quantile(p) for p in grouped.FIVE.values()]), "b": (1, 1.0, 1.0, 1.0, 1.0, 1.0)}
+
+
+def test_scenario_delta_keeps_duplicate_baseline_rows_and_other_columns(spark):
+    df = spark.createDataFrame(
+        [("S", 1, 8.0, "x"), ("S", 2, 9.0, "y"), ("base", 1, 5.0, "p"), ("base", 1, 6.0, None)],
+        "Scenario string, k int, v double, note string",
+    )
+    for how in ("left", "full"):
+        got = delta.scenario_delta(df, "base", ["k"], ["v"], how=how)
+        rows = got.select("k", "v_baseline", "delta_v", "note_baseline").collect()
+        assert sorted(map(tuple, rows), key=repr) == [(1, 5.0, 3.0, "p"), (1, 6.0, 2.0, None), (2, None, None, None)]
+
+
+def test_year_and_month_series_are_cut_by_year(spark):
+    df = spark.range(240).selectExpr("cast(2000 + id div 12 as int) AS Year", "cast(id % 12 + 1 as int) AS Month")
+    assert df.select(ordered.order_bucket(df, ["Year", "Month"])).distinct().count() == 20
