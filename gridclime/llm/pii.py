@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +37,10 @@ SYLLABLES = {
 GENDER = {name.casefold(): g for (_, g), names in GIVEN.items() for name in names}
 _TITLE_GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts.split()}
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_UPPER = r"(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])"
+#: A word of a name, or an initial before one.
+_PART = r"(?:[A-ZÀ-ÖØ-ÞА-ЯЁ]\.(?= [A-ZÀ-ÖØ-ÞА-ЯЁ])|" + _UPPER + _NAME + ")"
+_GIVEN = "|".join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True))
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts.split()), key=len, reverse=True))
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
@@ -45,10 +50,19 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w])(?:\d[ -]?){12,18}\d(?!\w))"
-    r"|(?P<name>(?<!\w)(?:" + _TITLE + r")\.? (?=[A-ZÀ-ÖØ-ÞА-ЯЁ])" + _NAME + r"(?: (?=[A-ZÀ-ÖØ-ÞА-ЯЁ])" + _NAME + r"){0,2})"
+    r"|(?P<name>(?<!\w)(?:(?:" + _TITLE + r")\.? )+" + _PART + r"(?: " + _PART + r"){0,2})"
+    # a given name, more of them or initials, and a capitalised word
+    r"|(?P<person>(?<!\w)" + _UPPER + r"(?:" + _GIVEN + r")(?:-" + _UPPER + r"[^\W\d_]+)?"
+    r"(?: (?:(?:" + _GIVEN + r")(?!\w)|[A-ZÀ-ÖØ-ÞА-ЯЁ]\.)){0,3} " + _UPPER + _NAME + r")"
 )
+_TITLES = re.compile(r"(?:(?:" + _TITLE + r")\.? )+" + _UPPER)
+_WORD = re.compile(_NAME)
+_BARE = re.compile(r"(?<!\w)" + _UPPER + _NAME)
 #: Some character, run or word of each of the above, for a quick test of a text: each secret has a run of 20.
-QUICK = r"[\p{Nd}@]|[A-Za-z0-9+/_-]{20}|(?<!\w)(?:" + _TITLE + r")\.? \p{Lu}"
+QUICK = (
+    r"[\p{Nd}@]|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"
+    r"|(?<!\w)(?=[\p{Lu}г])(?:(?:" + _TITLE + r")\.? \p{Lu}|(?:" + _GIVEN + r")[ -]\p{Lu})"
+)
 
 
 def luhn(digits: str) -> bool:
@@ -83,28 +97,60 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
         at = max(b, a + 1)
 
 
+def name_parts(s: str, titled: bool) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, type, value) of the given names and the surname of a name; initials stay."""
+    at, gender = 0, "n"
+    if titled:
+        at = _TITLES.match(s).end()
+        gender = next((g for t in s[:at].split() if (g := _TITLE_GENDER.get(t.rstrip(".").casefold(), "n")) != "n"), "n")
+    parts = [(p.start(), p.end()) for p in _WORD.finditer(s, at) if s[p.end() : p.end() + 1] != "."]
+    for x, y in parts:
+        if s[y - 2 : y] in ("'s", "’s"):
+            y -= 2
+        p = s[x:y].casefold()
+        own = GENDER.get(p) or GENDER.get(p.split("-")[0])
+        if x != parts[-1][0] or p in GENDER:
+            g = gender if gender != "n" else own or "n"
+            yield x, y, "given-" + (g if g != "n" else "fm"[len(p) % 2]), p
+        else:
+            yield x, y, "surname", p
+
+
 def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, type, value) of the entities of a text. The value is what one entity has in all its forms.
 
     Given names and surnames are entities of their own, so a person with and without the given name stays one person.
+    A name is found behind a title, or as a listed given name before a capitalised word; its parts are then found
+    wherever they stand capitalised in the same text.
     """
+    out, people = [], {}
     for a, b, kind, s in candidates(text):
         if kind in ("card", "phone", "ssn"):
-            yield a, b, kind, digits_of(s)
+            out.append((a, b, kind, digits_of(s)))
         elif kind == "email":
-            yield a, b, "email", s.casefold()
-        elif kind == "name":
-            title, rest = s.split(" ", 1)
-            parts = [(p.start() + a + len(title) + 1, p.end() + a + len(title) + 1, p.group()) for p in re.finditer(_NAME, rest)]
-            gender = _TITLE_GENDER[title.rstrip(".").casefold()]
-            for i, (x, y, p) in enumerate(parts):
-                if len(parts) > 1 and i < len(parts) - 1 or p.casefold() in GENDER:
-                    g = gender if gender != "n" else GENDER.get(p.casefold(), "n")
-                    yield x, y, "given-" + (g if g != "n" else "fm"[len(p) % 2]), p.casefold()
-                else:
-                    yield x, y, "surname", p.casefold()
+            out.append((a, b, "email", s.casefold()))
+        elif kind in ("name", "person"):
+            for x, y, k, p in name_parts(s, kind == "name"):
+                # the first mention says what a part is
+                k = people.setdefault(p, k)
+                out.append((a + x, a + y, k, p))
         else:
-            yield a, b, kind, s
+            out.append((a, b, kind, s))
+    if people:
+        # spans found above do not overlap: a word is free if the last one that begins before its end ends before it
+        starts, ends = [x[0] for x in out], [x[1] for x in out]
+        for m in _BARE.finditer(text):
+            word = m.group()
+            whole = word[:-2] if word.endswith(("'s", "’s")) else word
+            pieces = [(0, whole)] if whole.casefold() in people else [(p.start(), p.group()) for p in re.finditer(r"[^\W\d_]+", word)]
+            for x, p in pieces:
+                a, b, v = m.start() + x, m.start() + x + len(p), p.casefold()
+                if len(p) > 1 and p[0].isupper() and v in people:
+                    i = bisect_left(starts, b) - 1
+                    if i < 0 or ends[i] <= a:
+                        out.append((a, b, people[v], v))
+        out.sort()
+    yield from out
 
 
 class Draws:

@@ -41,7 +41,7 @@ SECRETS = [
 
 
 def test_quick_test_passes_every_entity(spark):
-    texts = SECRETS + [f"Herr {n} kam" for n in ("Öz", "Иванов")] + ["no entity here"]
+    texts = SECRETS + [f"Herr {n} kam" for n in ("Öz", "Иванов")] + ["Mary Smith kam", "Jean-Pierre Dupont", "no entity here"]
     if os.path.isdir(SF_DIR):
         texts += [r.text for r in queries.table(spark, SF_DIR, "documents").collect() if r.text]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
@@ -53,3 +53,30 @@ def test_secrets_without_digits_are_replaced(spark):
     out = pii.replace_pii(spark.createDataFrame([(t,) for t in SECRETS], "text string"), "k").collect()
     assert all(len(r.pii_types) == 1 for r in out)
     assert not {r.text for r in out} & set(SECRETS) and not any(re.search("[٠-٩]", r.text) for r in out)
+
+
+@pytest.mark.parametrize(
+    "text, gone",
+    [
+        ("Dr Anna Keller came. Keller said that Anna left; Keller's bag.", ["Anna", "Keller"]),
+        ("Keller wrote. Later Frau Keller came.", ["Keller"]),
+        ("Then Mary Smith came, and Smith left.", ["Mary", "Smith"]),
+        ("Prof. Dr. Anna J. Keller and MARY KELLER.", ["Anna", "Keller", "KELLER"]),
+        ("Jean-Pierre Dupont met Анна Иванова.", ["Jean-Pierre", "Dupont", "Анна", "Иванова"]),
+    ],
+)
+def test_later_and_untitled_names_are_replaced(spark, text, gone):
+    new = pii.replace_pii(spark.createDataFrame([(text,)], "text string"), "k").first().text
+    assert not [g for g in gone if g in new]
+
+
+def test_mentions_stay_one_person(spark):
+    text = "Dr Anna Keller came. Keller said that Anna left. Mary Smith: ask Keller's friend."
+    new = pii.replace_pii(spark.createDataFrame([(text,)], "text string"), "k").first().text
+    m = re.fullmatch(r"Dr (\S+) (\S+) came\. (\S+) said that (\S+) left\. \S+ \S+: ask (\S+)'s friend\.", new)
+    assert m[1] == m[4] and m[2] == m[3] == m[5] and m[1] != m[2]
+
+
+def test_words_that_are_no_names_stay():
+    assert not list(pii.entities("The keller of Anna is in May. Mark my words, Rosa."))
+    assert [s for _, s in found("Mr Stone saw a stone and Stonehenge.")] == ["Stone"]
