@@ -1,4 +1,7 @@
-"""Benchmark decontamination by spaced seeds: masks that ignore some token positions, then a check of the overlap."""
+"""Benchmark decontamination by spaced seeds: masks that ignore some token positions, then a check of the overlap.
+
+Items too short for a mask are joined by the hash of their whole token run.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Tables, bit_filter, in_filter
-from .tokens import ALNUM, BASE, chunks, mix, tokenise
+from .tokens import ALNUM, BASE, chunks, mix, tokenise, windows
 
 #: Fixed masks over 11 tokens; a token under 0 may differ.
 MASKS = ("11101001011", "11010011101", "10111100011")
 SPAN = len(MASKS[0])
 FILTER_BITS = 1 << 24
+#: Fewest tokens of an item that counts as evidence.
+LEAST = 5
 
 
 def seed_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -33,6 +38,11 @@ def seed_hashes(hashes: np.ndarray) -> np.ndarray:
     return mix(out).astype(np.int64)
 
 
+def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each whole run of ``width`` tokens, by its first token; different widths have different hashes."""
+    return mix(windows(hashes, width) + np.uint64(width)).astype(np.int64)
+
+
 def second(h: np.ndarray) -> np.ndarray:
     """Another hash of a hash, for the second test of the filter."""
     return mix(h.astype(np.uint64) + np.uint64(0x51ED270B)).astype(np.int64)
@@ -55,13 +65,14 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     words: int = 13,
-    least: int = SPAN,
+    least: int = LEAST,
 ) -> DataFrame:
     """(id, item, first_word, n_words, n_same): overlaps of documents with benchmark items, the best one of each pair.
 
     Tokens are runs of letters and digits of the lower-cased text. An overlap counts when it holds ``words`` equal
     tokens, or 0.8 of the item if it is shorter than that; substituted tokens are allowed in it at a third of the equal
-    ones. Items of fewer than ``least`` tokens, null ones too, are no evidence and match nothing; null and empty
+    ones. An item of fewer tokens than SPAN counts when a document holds all of it, token by token. Items of fewer than
+    ``least`` tokens, null ones too, are no evidence and match nothing; null and empty
     documents have no overlap; repeated documents give equal rows once. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -74,7 +85,7 @@ def contaminated(
                 t = tokenise(data, offsets, ALNUM)
                 for i, (a, b) in enumerate(zip(t.bounds[:-1], t.bounds[1:])):
                     if b - a >= least:
-                        s = seed_hashes(t.hashes[a:b])
+                        s = seed_hashes(t.hashes[a:b]) if b - a >= SPAN else np.zeros((0, 0), np.int64)
                         ids.append(batch.column(0)[first + i].as_py())
                         blobs.append(t.hashes[a:b].tobytes())
                         seeds.append(s.ravel())
@@ -97,6 +108,40 @@ def contaminated(
     reach = (reach or 0) // 8
     one, two = bit_filter(seeds, "seed", FILTER_BITS), bit_filter(seeds, "second", FILTER_BITS)
 
+    def short_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([int(run_hashes(v, len(v))[0]) for v in runs], pa.int64()), pa.array([len(v) for v in runs], pa.int64())],
+                ["item", "run", "width"],
+            )
+
+    short = items.where(F.octet_length("item_tokens") < 8 * SPAN).select("item", "item_tokens")
+    short = tables.save(short.mapInArrow(short_items, "item long, run long, width long").distinct(), "short")
+    widths = sorted(r.width for r in short.select("width").distinct().collect())
+    whole = bit_filter(short, "run", FILTER_BITS) if widths else None
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First place of each run of a document that may be a short item, by the filter."""
+        for batch in batches:
+            docs_, runs, places = [], [], []
+            for first, _, data, offsets in chunks(batch.column(1)):
+                t = tokenise(data, offsets, ALNUM)
+                for w in widths:
+                    h = run_hashes(t.hashes, w)
+                    at = np.flatnonzero(in_filter(whole, h))
+                    doc = np.searchsorted(t.bounds, at, "right") - 1
+                    inside = at + w <= t.bounds[doc + 1]
+                    at, doc = at[inside], doc[inside]
+                    if not len(at):
+                        continue
+                    _, once = np.unique(np.stack([doc, h[at]]), axis=1, return_index=True)
+                    docs_ += (first + doc[once]).tolist()
+                    runs += h[at[once]].tolist()
+                    places += (at - t.bounds[doc])[once].tolist()
+            ids = batch.column(0).take(pa.array(docs_, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(runs, pa.int64()), pa.array(places, pa.int64())], ["id", "run", "place"])
+
     def regions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches of documents around the places where a seed passes the filters."""
         names = ["id", "key", "start", "tokens", "at", "seed"]
@@ -152,6 +197,10 @@ def contaminated(
     lines = lines.join(items.select("item", "item_tokens"), "item").join(regions.select(F.col("id").alias("i"), "key", "start", "tokens"), "key")
     lines = lines.where(F.col("id").eqNullSafe(F.col("i"))).select("id", "start", "item", "shift", "tokens", "item_tokens")
     found = lines.mapInArrow(verified, "id long, item long, first_word long, n_words long, n_same long")
+    if widths:
+        # a hash of 64 bits over all tokens of the item stands for their equality
+        held = rows.mapInArrow(runs_of, "id long, run long, place long").join(short, "run")
+        found = found.unionByName(held.select("id", "item", F.col("place").alias("first_word"), F.col("width").alias("n_words"), F.col("width").alias("n_same")))
     best = found.groupBy("id", "item").agg(F.max(F.struct("n_same", (-F.col("first_word")).alias("back"), "n_words")).alias("b"))
     return best.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.back")).alias("first_word"),
