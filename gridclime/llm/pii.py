@@ -189,7 +189,10 @@ def script_of(word: str) -> str:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The value that stands for an entity; later attempts draw anew, names also from longer ones."""
+    """The value that stands for an entity; later attempts draw anew, names also from longer ones.
+
+    Private addresses keep their private parts at first; where so many are in use that attempts fail, they keep fewer.
+    """
     d = Draws(key, kind, value, attempt)
     if kind == "card":
         body = value[0] + d.like(value[1:-1])
@@ -206,6 +209,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "ip":
         parts = value.split(".")
         keep = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
+        keep = max(0, keep - attempt // 2)
         drawn = [str(d.below(256)) for _ in parts[keep:]]
         if not keep:
             drawn[0] = str([x for x in range(11, 224) if x not in (127, 169, 172, 192)][d.below(209)])

@@ -22,6 +22,8 @@ MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range that one task reads.
 SPLIT = 16 << 20
 READ = 1 << 20
+#: What stands for a null id.
+NO_ID = "none"
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -38,13 +40,13 @@ def decide(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataF
     return keys.join(heads, "sha1").where("id < refers_to").distinct()
 
 
-def record(page: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def record(page: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """A gzip member with one record; a revisit has no block but tells digest and length of what it stands for."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: <urn:page:{NO_ID if page is None else page}>",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Target-URI: {re.sub(r'[\x00-\x1f\x7f]', ' ', url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -63,7 +65,7 @@ def write_archives(
 ) -> DataFrame:
     """Write a record for each row below ``folder`` and return (path, bytes) of the archives.
 
-    A null payload is empty. Of equal payloads of at least ``least`` bytes the largest id is the response. Rows with
+    A null payload is empty; a row with a null id is a response of its own. Of equal payloads of at least ``least`` bytes the largest id is the response. Rows with
     one id and payload are records of one kind. Each task writes a file of its own under a name of its attempt and
     gives it its final name when it is complete, so that a task that runs again replaces its file.
     """
@@ -181,7 +183,7 @@ def parse(data: bytes) -> tuple:
     """(id, type, refers to, url, digest, payload length, payload) of a record; digest and length of a response are made anew."""
     head, _, body = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    number = lambda x: int(x[len("<urn:page:") : -1])
+    number = lambda x: None if (n := x[len("<urn:page:") : -1]) == NO_ID else int(n)
     body = body[: int(fields["Content-Length"])]
     digest, length = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
     if fields["WARC-Type"] == "response":

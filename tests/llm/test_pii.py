@@ -80,3 +80,13 @@ def test_mentions_stay_one_person(spark):
 def test_words_that_are_no_names_stay():
     assert not list(pii.entities("The keller of Anna is in May. Mark my words, Rosa."))
     assert [s for _, s in found("Mr Stone saw a stone and Stonehenge.")] == ["Stone"]
+
+
+def test_private_addresses_do_not_run_out(spark, tmp_path):
+    n = 40_000
+    df = spark.range(n).select(F.lit("ip").alias("type"), F.expr("concat('192.168.', id div 256, '.', id % 256)").alias("value")).coalesce(4)
+    df.write.parquet(f"{tmp_path}/found")
+    found = spark.read.parquet(f"{tmp_path}/found")
+    own = {r.value: r.surrogate for r in pii.override_table(found, b"k", pii.Tables(spark, "pii")).collect()}
+    new = {v: own.get(v) or pii.surrogate(b"k", "ip", v) for v in (r.value for r in found.collect())}
+    assert len(new) == len(set(new.values())) == n and not set(new) & set(new.values())
