@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, language, license_scan, mixing, pii, quality, url_filter, warc
+from . import (
+    clustering, decontaminate, filter_audit, fingerprint, jaccard_join, language, license_scan, mixing, pii, quality,
+    url_filter, warc,
+)
 
 PII_KEY = "a key for tests; production keys are secret"
 
@@ -73,11 +76,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    return found
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_decontamination, op3_license_scan, op4_quality, op5_language_id, op6_url_filter,
-        op7_pii_surrogates, op8_jaccard_join, op9_mixture, op10_warc,
+        op7_pii_surrogates, op8_jaccard_join, op9_mixture, op10_warc, op11_clusters,
+        op13_filter_audit,
     )
 }
-SQL = {"op6_url_filter": url_filter.oracle()}
+SQL = {"op6_url_filter": url_filter.oracle(), "op13_filter_audit": filter_audit.oracle()}
