@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     clustering, decontaminate, filter_audit, fingerprint, jaccard_join, language, license_scan, mixing, pii, quality,
-    url_filter, warc,
+    secret_scan, url_filter, warc,
 )
 
 PII_KEY = "a key for tests; production keys are secret"
@@ -81,6 +81,16 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    of = lambda kind: F.filter("spans", lambda s: s.kind == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS[:3]]
+    base = F.sha2(text(F.filter("spans", lambda s: s.kind != secret_scan.KINDS[3])), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -90,7 +100,7 @@ QUERIES = {
     for f in (
         op1_fingerprints, op2_decontamination, op3_license_scan, op4_quality, op5_language_id, op6_url_filter,
         op7_pii_surrogates, op8_jaccard_join, op9_mixture, op10_warc, op11_clusters,
-        op13_filter_audit,
+        op12_secret_scan, op13_filter_audit,
     )
 }
 SQL = {"op6_url_filter": url_filter.oracle(), "op13_filter_audit": filter_audit.oracle()}
