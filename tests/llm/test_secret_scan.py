@@ -146,7 +146,7 @@ def test_field_agrees_with_patterns_on_other_documents(spark, field):
     want = [set(s.secret_parts(t)) for t in texts]
     got = [set(f) for f in s.field_spans(pa.array(texts), field)]
     right = sum(len(w & g) for w, g in zip(want, got))
-    assert right >= 0.9 * sum(map(len, want)) > 50 and right >= 0.9 * sum(map(len, got))
+    assert sum(map(len, want)) > 50 and right >= 0.9 * max(sum(map(len, want)), sum(map(len, got)))
 
 
 def test_whole_query(spark):
