@@ -208,6 +208,16 @@ def every_kth(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFra
     return df.withColumn("_rn", F.row_number().over(window)).where((F.col("_rn") - 1) % k == 0).drop("_rn")
 
 
+def repeat_before_last(df: DataFrame, position: str, length: str) -> DataFrame:
+    """Put the row before the last of each series in the last one's place too; all but its position stays as it was.
+
+    Each row decides alone where it goes, so the series may be cut in any way. A series of one row keeps it.
+    """
+    at, n = F.col(position), F.col(length)
+    places = F.when(at < n - 1, F.array(at)).when(at == n - 1, F.array(at, n)).when(n == 1, F.array(at))
+    return df.withColumn(position, F.explode(places))
+
+
 def patch_last_with_previous(df: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
     """Overwrite the value at the last position of each series by the one before it."""
     placed = with_position(df, by, [order], position="_p", length="_len")

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import load_queries, result_queries
+    from . import file_queries, load_queries, result_queries
 
-    return {**load_queries.QUERIES, **result_queries.QUERIES}
+    return {**load_queries.QUERIES, **result_queries.QUERIES, **file_queries.QUERIES}

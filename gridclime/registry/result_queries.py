@@ -14,7 +14,7 @@ from ..operators import delta as de
 from ..operators import grouped, matching, ordered, reshape
 from ..plans import climate as cl
 from ..plans import compare as co
-from ..session import shared_folder
+from ..session import scratch
 from ..sources import sinks
 from ..sources.parameters import COMBINED_FAMILY, COOLING_FAMILY, WATER_FAMILY
 from ..sources.tables import read_table
@@ -633,16 +633,9 @@ def q_negative_balance(spark, sf):
 # ---- sinks --------------------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the cluster's shared checkpoints."""
-    base = shared_folder(spark)
-    run = spark.sql("SELECT uuid()").first()[0]
-    return f"{base.rstrip('/')}/gridclime-{name}-{run}"
-
-
 def q_keyed_overwrite(spark, sf):
     """Write by key, write some keys again with other values, read back."""
-    path = _scratch(spark, "keyed")
+    path = scratch(spark, "keyed")
     totals = table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
     sinks.write_keyed(totals, path, "o_orderpriority")
     again = totals.where(F.col("o_orderpriority") < "3").withColumn("n", -F.col("n"))
@@ -651,7 +644,7 @@ def q_keyed_overwrite(spark, sf):
 
 def q_demand_export(spark, sf):
     """One CSV directory per priority, read back with the typed reader."""
-    path = _scratch(spark, "export")
+    path = scratch(spark, "export")
     daily = table(spark, sf, "orders").groupBy("o_orderpriority", F.col("o_orderdate").cast("date").alias("day")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -664,7 +657,7 @@ def q_materialise(spark, sf):
     yearly = table(spark, sf, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return shape(sinks.materialise(yearly, _scratch(spark, "table"), ["o_orderpriority"]), ["o_orderpriority", "y", "n"])
+    return shape(sinks.materialise(yearly, scratch(spark, "table"), ["o_orderpriority"]), ["o_orderpriority", "y", "n"])
 
 
 def _wide_sql(columns: list[str], value: str, category: str, digits: int) -> str:

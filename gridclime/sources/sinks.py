@@ -1,13 +1,19 @@
-"""Writers. Inputs are never overwritten; derived tables are rebuilt or replaced by key."""
+"""Writers. Inputs are never overwritten; derived tables are rebuilt or replaced by key, see ``versions``."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-class KeyExistsError(ValueError):
-    """The key is already in the table and overwriting was not asked for."""
+from .folders import Folder
+from .versions import KeyExistsError, read_version, rebuild, vacuum, versions, write_keyed
+
+__all__ = [
+    "KeyExistsError", "export_by_scenario", "materialise", "read_version", "rebuild", "vacuum", "versions", "write_csv",
+    "write_files", "write_keyed", "write_new", "write_outputs",
+]
 
 
 def materialise(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> DataFrame:
@@ -43,27 +49,21 @@ def write_outputs(outputs: dict[str, DataFrame], root: str, format: str = "parqu
         df.write.mode("overwrite").option("header", True).format(format).save(f"{root}/{name}")
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def write_keyed(df: DataFrame, path: str, key: str, overwrite: bool = False) -> DataFrame:
-    """Insert rows by key, idempotently.
+def write_files(lines: DataFrame, root: str, file: str = "file", order: str = "number", line: str = "line") -> None:
+    """One text file below ``root`` for each value of ``file`` (a path), its lines in ``order``.
 
-    Keys not in the table are inserted. If any of them is there already, its rows are replaced when
-    ``overwrite`` is set, else KeyExistsError is raised and nothing is written. Other keys keep
-    their rows: the table is partitioned by the key and only the partitions written are replaced.
+    A file is written by one task; files are given their names when all are written.
     """
-    spark = df.sparkSession
-    present = _existing(spark, path)
-    if present is not None and not overwrite:
-        clash = present.select(key).join(df.select(key).distinct(), key, "left_semi").limit(1)
-        if not clash.isEmpty():
-            raise KeyExistsError(f"{key} is already in {path}; use another one or overwrite")
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-    return spark.read.parquet(path)
+    spark = lines.sparkSession
+    named = lines.select(F.xxhash64(file).alias("_file"), order, F.col(line).cast("string").alias("value"), file)
+    staging = f"staging-{uuid.uuid4().hex}"
+    named.repartition("_file").sortWithinPartitions("_file", order).select("_file", "value").write.partitionBy("_file").text(
+        f"{root}/{staging}"
+    )
+    folder = Folder(spark, root)
+    for r in named.select("_file", file).distinct().toLocalIterator():
+        parts = [n for n in folder.names(f"{staging}/_file={r[0]}") if n.startswith("part-")]
+        if len(parts) != 1:
+            raise ValueError(f"{r[1]} and another file have the same hash")
+        folder.move(f"{staging}/_file={r[0]}/{parts[0]}", r[1])
+    folder.delete(staging)

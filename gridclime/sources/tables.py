@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..quality import complete_rows
-from .text_files import decoded_path, path_part
+from .lines import cells, decoded_path, file_lines, first_lines, path_part, trimmed
 
 # Result files of a run directory and the columns used from each.
 RESULT_COLUMNS: dict[str, dict[str, str]] = {
@@ -104,30 +102,30 @@ DEMAND_COLUMNS = {
 
 
 def read_columns(
-    spark: SparkSession, glob: str | list[str], columns: dict[str, str], **options: str
+    spark: SparkSession, glob: str | list[str], columns: dict[str, str], sep: str = ",", null: str = "NA"
 ) -> DataFrame:
     """Headered CSV files; the listed columns by the names in each file's own header, cast to the listed types.
 
-    Text that is not of the listed type becomes null; a listed column that a file lacks is null in its rows, and an
-    error if no file has it. The path of each file is kept as ``path``. Files with the same header are read together.
+    The headers are read from the first bytes of the files; one scan of all files then takes each cell from the place
+    that its file's header gives the column. A line equal to its file's header is taken for the header. Empty cells,
+    ``null`` and text that is not of the listed type become null; a listed column that a file lacks is null in its rows,
+    and an error if no file has it. Records end with their line. The path of each file is kept as ``path``.
     """
-    lines = spark.read.text(glob).where("_metadata.file_block_start = 0")
-    lines = lines.select(decoded_path().alias("file"), "value", F.monotonically_increasing_id().alias("at"))
-    heads = lines.groupBy("file").agg(F.regexp_replace(F.min_by("value", "at"), "^\uFEFF", "").alias("head"))
-    heads = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    parts, known = [], set()
-    for row in heads.orderBy("head").toLocalIterator():
-        raw = spark.read.options(header=True, nullValue="NA", **options).csv(row.files)
-        known |= set(raw.columns)
-        picked = [
-            (F.col(f"`{c}`").try_cast(t) if c in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()
-        ]
-        parts.append(raw.select(*picked, decoded_path().alias("path")))
-    if lacking := [c for c in columns if parts and c not in known]:
-        raise ValueError(f"no file has the columns {lacking}")
-    if not parts:
+    heads = first_lines(spark, glob, 1).select("file", F.col("head")[0].alias("header"))
+    names = trimmed(cells(F.regexp_replace("header", "^\uFEFF", ""), sep))
+    places = heads.select("file", "header", *[F.array_position(names, c).cast("int").alias(f"at_{i}") for i, c in enumerate(columns)])
+    found = places.agg(F.count(F.lit(1)).alias("files"), *[F.max(f"at_{i}").alias(f"at_{i}") for i in range(len(columns))]).first()
+    if not found.files:
         raise FileNotFoundError(f"no CSV file with a header in {glob}")
-    return reduce(DataFrame.unionByName, parts)
+    if lacking := [c for i, c in enumerate(columns) if not found[f"at_{i}"]]:
+        raise ValueError(f"no file has the columns {lacking}")
+    rows = file_lines(spark, glob).join(places, "file").where(F.col("value") != F.col("header"))
+    rows = rows.withColumn("_cells", cells(F.col("value"), sep))
+    picked = []
+    for i, (c, kind) in enumerate(columns.items()):
+        cell = F.when(F.col(f"at_{i}") > 0, F.try_element_at("_cells", F.col(f"at_{i}")))
+        picked.append(F.when((cell != "") & (cell != null), cell).try_cast(kind).alias(c))
+    return rows.select(*picked, decoded_path(F.col("file")).alias("path"))
 
 
 def read_degree_days(spark: SparkSession, glob: str | list[str]) -> DataFrame:

@@ -1,8 +1,7 @@
 """Readers for text exports with preambles, data-dependent headers and metadata lines.
 
-Each file is one row until it is taken apart inside its task, so line positions are known without a
-sort, and all files of all scenarios are read by one job. The files are per-zone or per-object
-exports bounded by their calendar.
+All files of all scenarios are read by one job, and a large file by many tasks: line numbers and headers come from
+``lines``. Blank lines are passed over; a preamble counts them.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_undefined
+from ..operators.ordered import repeat_before_last
+from .lines import cells, decoded_path, first_lines, is_blank, numbered_lines, path_part, trimmed
 
 # Preamble lengths and labels of the input file formats.
 TMAX_PREAMBLE = 41
@@ -19,32 +20,13 @@ HISTORICAL_PREAMBLE = 37
 WIDE_EXPORT_PREAMBLE = 5
 CATCHMENT_PREAMBLE = {"scenario": 15, "historical": 16}
 CATCHMENT_METADATA_LINE = {"scenario": 10, "historical": 11}
+LONGEST_PREAMBLE = max(CATCHMENT_PREAMBLE.values())
+HEADER_WITHIN = 64  # a header stands at most this many lines behind its preamble
 STATISTIC_COLUMNS = ["Max", "Min", "Sum", "Median", "SD", "Mean", "RMS"]
 UNIT = r".Gigawatt.Hour."
 SERIES_START = "2006-01-01"
 
 
-def decoded_path() -> Column:
-    """Path of the source file with %xx escapes resolved."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
-def path_part(path: Column, from_end: int) -> Column:
-    """Path component counted from the end; 1 is the file name."""
-    return F.element_at(F.split(path, "/"), -from_end)
-
-
-def _files(spark: SparkSession, glob: str | list[str]) -> DataFrame:
-    body = spark.read.text(glob, wholetext=True)
-    return body.select(decoded_path().alias("path"), F.split("value", "\r\n|\n|\r").alias("lines"))
-
-
-def _cells(line: Column) -> Column:
-    """Cells of a comma-separated line; commas inside double quotes do not split."""
-    cells = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(cells, lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
-
-
 def _mangled(names: Column) -> Column:
     """Column names as the downstream mapping tables spell them: every character outside letters,
     digits, '.' and '_' becomes '.', a name that starts with neither a letter nor a dot followed by a
@@ -66,29 +48,34 @@ def object_name(column: Column) -> Column:
     return F.rtrim(F.replace(without_unit, F.lit("."), F.lit(" ")))
 
 
-def _after(lines: Column, preamble: Column | int) -> Column:
+def _heads(spark: SparkSession, glob: str | list[str], preamble: Column | int, beyond: int = HEADER_WITHIN) -> DataFrame:
+    """(path, file, header, skipped): of each file, the first line after the preamble that is not blank, and the lines
+    that are not blank before it. A Column goes by ``path``."""
     skip = F.lit(preamble) if isinstance(preamble, int) else preamble
-    rest = F.slice(lines, skip + 1, F.greatest(F.size(lines) - skip, F.lit(0)))
-    return F.filter(rest, lambda l: F.trim(l) != "")
+    longest = preamble if isinstance(preamble, int) else LONGEST_PREAMBLE
+    found = first_lines(spark, glob, longest + beyond).withColumn("path", decoded_path(F.col("file")))
+    before, after = F.slice("head", F.lit(1), skip), F.slice("head", skip + 1, F.lit(beyond))
+    full = F.filter(after, lambda l: ~is_blank(l))
+    return found.select(
+        "path", "file", F.try_element_at(full, F.lit(1)).alias("header"), F.size(F.filter(before, lambda l: ~is_blank(l))).alias("skipped")
+    )
+
 
+def _wide_block(spark: SparkSession, glob: str | list[str], preamble: Column | int, ids: list[str]) -> DataFrame:
+    """Header plus data lines after the preamble, gathered to one row per (line, entity column).
 
-def _wide_block(files: DataFrame, preamble: Column | int, ids: list[str]) -> DataFrame:
-    """Header plus data lines after the preamble, gathered to one row per (line, entity column)."""
+    The files' headers, known from their first lines, meet the data lines by file, and a cell its name by place.
+    """
     n = len(ids)
-    block = files.withColumn("_block", _after(F.col("lines"), preamble)).drop("lines")
-    block = block.withColumn("_names", _mangled(_cells(F.element_at("_block", 1))))
-    line = block.withColumn("_line", F.explode(F.slice("_block", F.lit(2), F.greatest(F.size("_block") - 1, F.lit(0)))))
-    row = line.withColumn("_cells", _cells(F.col("_line"))).drop("_block", "_line")
-    entity = F.explode(
-        F.arrays_zip(
-            F.slice("_names", n + 1, F.greatest(F.size("_names") - n, F.lit(0))).alias("name"),
-            F.slice("_cells", n + 1, F.greatest(F.size("_names") - n, F.lit(0))).alias("cell"),
-        )
+    rest = lambda c: F.slice(c, n + 1, F.greatest(F.size("_names") - n, F.lit(0)))
+    heads = _heads(spark, glob, preamble).withColumn("_names", _mangled(trimmed(cells(F.col("header")))))
+    lines = numbered_lines(spark, glob).join(heads.drop("header"), "file")
+    row = lines.where(F.col("number") > F.col("skipped") + 1).withColumn("_cells", trimmed(cells(F.col("value"))))
+    row = row.select("path", "_cells", F.explode(F.arrays_zip(rest("_names").alias("name"), rest("_cells").alias("cell"))).alias("_e"))
+    return row.select(
+        "path", *[F.try_element_at("_cells", F.lit(i + 1)).try_cast("int").alias(c) for i, c in enumerate(ids)],
+        F.col("_e.name").alias("column_name"), F.col("_e.cell").try_cast("double").alias("value"),
     )
-    long = row.withColumns({c: F.col("_cells")[i].try_cast("int") for i, c in enumerate(ids)}).withColumn("_e", entity)
-    return long.withColumns(
-        {"column_name": F.col("_e.name"), "value": F.col("_e.cell").try_cast("double")}
-    ).drop("_names", "_cells", "_e")
 
 
 def read_series(
@@ -105,28 +92,20 @@ def read_series(
     before it, and attaches dates by position from ``start``. The zone is the file name up to ``_t``;
     the scenario is the directory ``scenario_depth`` components from the end of the path.
     """
-    files = _files(spark, glob)
-    numbers = F.transform(
-        _after(F.col("lines"), preamble), lambda l: F.trim(F.split(l, ",")[0]).try_cast("double")
-    )
-    patched = F.transform(
-        F.col("_kept"),
-        lambda v, i: F.when((i > 0) & (i == F.size("_kept") - 1), F.col("_kept")[i - 1]).otherwise(v),
+    heads = _heads(spark, glob, preamble).select("file", "path", "skipped")
+    lines = numbered_lines(spark, glob).join(heads, "file").withColumns(
+        {"position": F.col("number") - F.col("skipped"), "_length": F.col("n_lines") - F.col("skipped") - 1}
     )
+    kept = lines.where((F.col("position") > 0) & (F.col("position") <= F.col("_length")))
+    patched = repeat_before_last(kept, "position", "_length")
+    number = F.trim(cells(F.col("value"))[0]).try_cast("double")
     first_day = F.to_date(F.lit(start)) if isinstance(start, str) else start
-    named = files.select(
-        F.regexp_extract(path_part(F.col("path"), 1), "^(.*?)_t", 1).alias("load_zone"),
+    return patched.select(
         path_part(F.col("path"), scenario_depth).alias("Scenario"),
-        numbers.alias("_all"),
-    ).withColumn("_kept", F.slice("_all", F.lit(1), F.greatest(F.size("_all") - 1, F.lit(0))))
-    days = named.select("Scenario", "load_zone", F.posexplode(patched).alias("_pos", "_v"))
-    v = F.col("_v")
-    return days.select(
-        "Scenario",
-        "load_zone",
-        F.date_add(first_day, F.col("_pos")).alias("Date"),
-        F.when(~is_undefined(v), v).alias(value),
-        (F.col("_pos") + 1).alias("position"),
+        F.regexp_extract(path_part(F.col("path"), 1), "^(.*?)_t", 1).alias("load_zone"),
+        F.date_add(first_day, (F.col("position") - 1).cast("int")).alias("Date"),
+        F.when(~is_undefined(number), number).alias(value),
+        F.col("position").cast("int").alias("position"),
     )
 
 
@@ -159,7 +138,7 @@ def read_wide_export(
     and the value; the statistic columns are dropped.
     """
     name = path_part(F.col("path"), 1)
-    long = _wide_block(_files(spark, glob), preamble, ["Year", "Month"])
+    long = _wide_block(spark, glob, preamble, ["Year", "Month"])
     return long.select(
         F.regexp_extract(name, r"^(.*)_[^_]*$", 1).alias("scenario"),
         F.regexp_extract(name, r"_([^_]*)\.csv$", 1).alias("file_kind"),
@@ -170,22 +149,21 @@ def read_wide_export(
     ).where(~F.col("object_name").isin(STATISTIC_COLUMNS))
 
 
-def _catchments(spark: SparkSession, glob: str | list[str], historical_name: str) -> DataFrame:
-    """Files named ``<number> - <state>_<name>.csv`` in one directory per scenario."""
+def _catchment_keys() -> list[Column]:
+    """Files are named ``<number> - <state>_<name>.csv`` in one directory per scenario."""
     name = path_part(F.col("path"), 1)
     label = F.regexp_extract(name, r"^.*? - (.*?)\.csv", 1)
-    return _files(spark, glob).select(
+    return [
         path_part(F.col("path"), 2).alias("Scenario"),
         F.regexp_extract(name, r"^(.*?) - ", 1).alias("Catchment_num"),
         label.alias("Catchment_name"),
         F.substring_index(label, "_", 1).alias("State"),
-        (path_part(F.col("path"), 2) == historical_name).alias("_historical"),
-        "lines",
-    )
+    ]
 
 
-def _per_format(lengths: dict[str, int]) -> Column:
-    return F.when(F.col("_historical"), lengths["historical"]).otherwise(lengths["scenario"])
+def _per_format(lengths: dict[str, int], historical_name: str) -> Column:
+    historical = path_part(F.col("path"), 2) == historical_name
+    return F.when(historical, lengths["historical"]).otherwise(lengths["scenario"])
 
 
 def read_catchment_bands(spark: SparkSession, glob: str | list[str], historical_name: str = "Hist") -> DataFrame:
@@ -194,9 +172,8 @@ def read_catchment_bands(spark: SparkSession, glob: str | list[str], historical_
     Areas stand in parentheses (`` ha``), four-digit upper limits before `` m``; a band reaches from
     1000 m below its limit.
     """
-    files = _catchments(spark, glob, historical_name)
-    line = F.element_at(_after(F.col("lines"), _per_format(CATCHMENT_METADATA_LINE)), 1)
-    text = F.replace(F.replace(line, F.lit(","), F.lit(" ")), F.lit('"'), F.lit(""))
+    files = _heads(spark, glob, _per_format(CATCHMENT_METADATA_LINE, historical_name))
+    text = F.replace(F.replace(F.col("header"), F.lit(","), F.lit(" ")), F.lit('"'), F.lit(""))
     text = F.regexp_replace(text, r"^[^:]*:", "")
     areas = F.transform(
         F.regexp_extract_all(text, F.lit(r"\((.+?)\)"), F.lit(1)),
@@ -204,7 +181,7 @@ def read_catchment_bands(spark: SparkSession, glob: str | list[str], historical_
     )
     limits = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{4})(?= m)"), F.lit(1)), lambda e: e.cast("int"))
     keys = ["Scenario", "Catchment_num", "Catchment_name", "State"]
-    found = files.select(*keys, areas.alias("_areas"), limits.alias("_limits"))
+    found = files.select(*_catchment_keys(), areas.alias("_areas"), limits.alias("_limits"))
     total = F.aggregate("_areas", F.lit(0.0), lambda a, b: a + b) * F.lit(0.01)
     band = found.select(
         *keys, total.alias("total_catchment_area_km2"), F.explode(F.arrays_zip("_areas", "_limits")).alias("_b")
@@ -220,10 +197,8 @@ def read_catchment_bands(spark: SparkSession, glob: str | list[str], historical_
 
 def read_catchment_data(spark: SparkSession, glob: str | list[str], historical_name: str = "Hist") -> DataFrame:
     """Monthly values per variable and elevation band of every catchment file."""
-    keys = ["Scenario", "Catchment_num", "Catchment_name", "State"]
-    files = _catchments(spark, glob, historical_name).withColumn("_skip", _per_format(CATCHMENT_PREAMBLE))
-    long = _wide_block(files, F.col("_skip"), ["Year", "Month"])
+    long = _wide_block(spark, glob, _per_format(CATCHMENT_PREAMBLE, historical_name), ["Year", "Month"])
     parts = F.split("column_name", "..Elevation.", 2)
     return long.select(
-        *keys, "Year", "Month", parts[0].alias("Var_type"), F.try_element_at(parts, F.lit(2)).alias("Elevation"), "value"
+        *_catchment_keys(), "Year", "Month", parts[0].alias("Var_type"), F.try_element_at(parts, F.lit(2)).alias("Elevation"), "value"
     )
