@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import na_sum, r_div
-from .matching import match
 
 # measure -> (name of the difference, name of the relative change)
 Names = dict[str, tuple[str, str]]
@@ -59,28 +58,51 @@ def scenario_delta(
     how: str = "left",
     scenario: str = "Scenario",
     suffix: str = "_baseline",
+    scenarios: list[str] | None = None,
 ) -> DataFrame:
     """Every non-baseline row next to the baseline row with the same keys.
 
     Adds ``Baseline_Scenario``, ``<measure>_baseline``, the difference and the relative change
     (x/0 infinite, 0/0 NaN). ``how='left'`` keeps scenario rows only, ``how='full'`` also gives
     every scenario the baseline rows it lacks (retirements). ``mode`` may differ by measure. The
-    baseline's other columns come along too, as ``<column>_baseline``.
+    baseline's other columns come along too, as ``<column>_baseline``, but for those whose name is
+    taken; a measure's baseline always comes from the baseline row, and replaces a column of that name.
 
     Several baseline rows of a key combination give as many rows each (see quality.duplicate_keys).
     The rows of a key combination, one per scenario, meet in one shuffle of the given table, so
-    whatever produced the table runs once; null keys match null keys.
+    whatever produced the table runs once; null keys match null keys. ``scenarios`` lists those that
+    ``full`` gives the baseline's rows; where it is not given, they are looked up in the table when
+    this is called.
     """
     names = _names(measures)
-    if how == "full":
-        return _full_delta(df, baseline, keys, names, mode, ndigits, scenario, suffix)
-    if how != "left":
+    if how not in ("left", "full"):
         raise ValueError(f"unknown join {how!r}: use left or full")
-    carried = _carried(df, keys, scenario, suffix)
-    found = F.when(F.col(scenario) == baseline, F.struct(*carried))
-    bases = F.collect_list(found).over(Window.partitionBy(*keys))
-    paired = df.withColumn("_bases", bases).where(F.col(scenario) != baseline)
-    paired = paired.withColumn("_base", F.explode_outer("_bases"))
+    same_keys = Window.partitionBy(*keys)
+    is_base = F.col(scenario) == baseline
+    replaced = [f"{m}{suffix}" for m in names]
+    carried = [
+        c for c in df.columns if c not in (*keys, scenario, *replaced) and (c in names or f"{c}{suffix}" not in df.columns)
+    ]
+    base = F.struct(*carried)
+    others = F.col(scenario) != baseline
+    paired = df.withColumn("_bases", F.collect_list(F.when(is_base, base)).over(same_keys))
+    if how == "left":
+        paired = paired.where(others).withColumn("_base", F.explode_outer("_bases"))
+    else:
+        if scenarios is None:
+            listed = df.where(others).select(scenario).distinct().collect()
+            scenarios = sorted(r[0] for r in listed)
+        wanted = F.array(*[F.lit(s) for s in scenarios]).cast("array<string>")
+        found = F.collect_set(F.when(others, F.col(scenario))).over(same_keys)
+        paired = paired.withColumn("_lacking", F.array_except(wanted, found))
+        # a baseline row stands for itself in each scenario that lacks its keys
+        stand_in = F.transform("_lacking", lambda s: F.struct(s.alias("name"), base.alias("base")))
+        own = F.transform(F.when(F.size("_bases") > 0, F.col("_bases")).otherwise(F.array(F.lit(None))), lambda b: F.struct(F.col(scenario).alias("name"), b.alias("base")))
+        paired = paired.withColumn("_pair", F.explode(F.when(is_base, stand_in).when(others, own)))
+        left_out = [c for c in df.columns if c not in (*keys, scenario)]
+        paired = paired.withColumns(
+            {"_base": F.col("_pair.base"), scenario: F.col("_pair.name"), **{c: F.when(~is_base, F.col(c)) for c in left_out}}
+        ).drop("_pair", "_lacking")
     both = paired.withColumns(
         {
             "Baseline_Scenario": F.when(F.col("_base").isNotNull(), F.lit(baseline)),
@@ -90,32 +112,6 @@ def scenario_delta(
     return add_differences(both, names, mode, ndigits, suffix)
 
 
-def _carried(df: DataFrame, keys: list[str], scenario: str, suffix: str) -> list[str]:
-    """Columns of which the baseline's value is put beside the scenario's."""
-    return [c for c in df.columns if c not in (*keys, scenario) and f"{c}{suffix}" not in df.columns]
-
-
-def _full_delta(
-    df: DataFrame,
-    baseline: str,
-    keys: list[str],
-    names: Names,
-    mode: str | dict[str, str],
-    ndigits: int | None,
-    scenario: str,
-    suffix: str,
-) -> DataFrame:
-    base = df.where(F.col(scenario) == baseline).select(
-        *keys,
-        F.col(scenario).alias("Baseline_Scenario"),
-        *[F.col(m).alias(f"{m}{suffix}") for m in _carried(df, keys, scenario, suffix)],
-    )
-    others = df.where(F.col(scenario) != baseline)
-    scenarios = others.agg(F.collect_set(scenario)).scalar()
-    wanted = base.withColumn(scenario, F.explode(scenarios))
-    return add_differences(match(others, wanted, [*keys, scenario], "full"), names, mode, ndigits, suffix)
-
-
 def rollup_delta(
     delta: DataFrame,
     keys: list[str],

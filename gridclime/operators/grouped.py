@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import is_undefined, na_mean, na_sum
 from .matching import match
-from .ordered import with_rank
+from .ordered import rows_below
 
 FIVE = {"minimum": 0.0, "lower_quartile": 0.25, "median": 0.5, "upper_quartile": 0.75, "maximum": 1.0}
 
@@ -62,12 +62,12 @@ def nearest_to_median(df: DataFrame, value: str, by: list[str], order: str, ndig
 def five_number(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Exact minimum, quartiles and maximum (linear interpolation) of each group.
 
-    Equal values of a group are counted first, so that a value with most of the rows is one row; ranks come from a
-    distributed sort of the distinct values.
+    Equal values of a group are counted first, so that a value with most of the rows is one row; ranks come from
+    histograms of the distinct values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count"))
-    ranked = with_rank(counts, by, [F.col(value).asc()], rank="_rank", size="_size", weight="_count")
-    before = F.col("_rank") - F.col("_count")
+    ranked = rows_below(counts, value, by, "_count").withColumn("_rank", F.col("_before") + F.col("_count"))
+    before = F.col("_before")
     span = F.col("_size") - 1
     picks, needed = [], F.lit(False)
     for name, p in FIVE.items():

@@ -11,16 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
 from .matching import match
 
+YEARS = 9999
 CHUNK = 512  # least number of phase steps per window partition of strided_mean
 
 
 def order_bucket(df: DataFrame, order: str | list[str]) -> Column:
-    """A coarse value that never decreases along the order: month, day or a run of 1024 numbers.
+    """A coarse value that never decreases along the order: month, day, a run of 1024 numbers or the start of a text.
 
-    A number that other order columns follow (the year of a month) is a bucket of its own.
+    A number that other order columns follow is a bucket of its own up to four digits (the year of a month); others
+    are cut into runs of 1024 as well.
     """
     column, *finer = [order] if isinstance(order, str) else order
     kind = df.schema[column].dataType
@@ -30,18 +31,30 @@ def order_bucket(df: DataFrame, order: str | list[str]) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
     if isinstance(kind, T.NumericType):
-        return c if finer else F.floor(c / 1024)
-    raise TypeError(f"{column} is {kind.simpleString()}; order by a date, a timestamp or a number")
+        run = F.floor(c / 1024)
+        return F.when(c.between(0, YEARS), F.floor(c)).when(c > YEARS, run + YEARS).otherwise(run) if finer else run
+    if isinstance(kind, T.StringType):
+        return F.substring(c, 1, 8)
+    raise TypeError(f"{column} is {kind.simpleString()}; order by a date, a timestamp, a number or a text")
 
 
-def _offsets(df: DataFrame, by: list[str], bucket: str, sums: dict[str, Column]) -> DataFrame:
-    """Per (series, bucket): each sum over the earlier buckets (``_before``) and over all (``_all``)."""
-    per_bucket = df.groupBy(*by, bucket).agg(*[c.alias(n) for n, c in sums.items()])
-    earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+def _cut(df: DataFrame, by: list[str], bucket: Column) -> DataFrame:
+    """The rows with their bucket, shuffled by series and bucket: what follows works on these pieces."""
+    return df.withColumn("_bucket", bucket).repartition(*by, "_bucket")
+
+
+def _offsets(cut: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Per (series, bucket) of ``_cut`` rows: each sum over the earlier buckets (``_before``) and over all (``_all``).
+
+    It reads every column of the rows, so Spark sees the same shuffle under it as under the rows and runs that once.
+    """
+    everything = F.max(F.xxhash64(*cut.columns)).alias("_rows")
+    per_bucket = cut.groupBy(*by, "_bucket").agg(*[c.alias(n) for n, c in sums.items()], everything)
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     columns = [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_before") for n in sums]
     columns += [F.sum(n).over(whole).alias(f"{n}_all") for n in sums]
-    return per_bucket.select(*by, bucket, *columns)
+    return per_bucket.where(F.col("_rows").isNotNull()).select(*by, "_bucket", *columns)
 
 
 def with_position(
@@ -52,12 +65,12 @@ def with_position(
     position: str = "position",
     length: str = "length",
 ) -> DataFrame:
-    """1-based row position inside its series, and the series length.
+    """1-based row position inside its series, and the series length; whatever made the rows runs once.
 
     ``bucket`` may be any expression that never decreases along the order.
     """
-    cut = df.withColumn("_bucket", order_bucket(df, order) if bucket is None else bucket)
-    offsets = _offsets(cut, by, "_bucket", {"_n": F.count(F.lit(1))})
+    cut = _cut(df, by, order_bucket(df, order) if bucket is None else bucket)
+    offsets = _offsets(cut, by, {"_n": F.count(F.lit(1))})
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
     numbered = cut.withColumn("_inside", F.row_number().over(inside))
     placed = match(numbered, offsets, [*by, "_bucket"])
@@ -141,10 +154,10 @@ def running_total(
         so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         missing = F.count(F.when(F.col(value).isNull(), 1)).over(so_far)
         return df.withColumn(name, F.when(missing == 0, F.sum(value).over(so_far)))
-    cut = df.withColumn("_bucket", order_bucket(df, order) if bucket is None else bucket)
+    cut = _cut(df, by, order_bucket(df, order) if bucket is None else bucket)
     v = F.col(value)
     sums = {"_s": F.coalesce(F.sum(v), F.lit(0.0)), "_m": F.count(F.when(v.isNull(), 1))}
-    offsets = _offsets(cut, by, "_bucket", sums)
+    offsets = _offsets(cut, by, sums)
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumns(
         {
@@ -159,45 +172,57 @@ def running_total(
     )
 
 
-def with_rank(
-    df: DataFrame, by: list[str], order: list[Column], rank: str = "rank", size: str | None = None, weight: str | None = None
-) -> DataFrame:
-    """1-based rank inside each group under any order, however large the group.
+#: Buckets of a value: its size on a logarithmic scale, in steps of 1/64 and, inside such a step, of 2**-20.
+COARSE, FINE = 64, 1 << 20
+
+
+def _code(value: Column, steps: int) -> Column:
+    """A whole number that never decreases with the value (the logarithm is monotonic); infinities and NaN come last."""
+    size = F.log1p(F.abs(value)) * steps
+    code = F.when(value < 0, -F.floor(size)).otherwise(F.floor(size))
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(code)
 
-    One distributed sort spreads a group over as many tasks as it needs; the sorted rows and their
-    sequence numbers are frozen in a reliable checkpoint, and each (group, task) run gets its offset
-    from a table with one row per run. A row of ``weight`` n stands for n equal rows and gets the rank of the last.
+
+def rows_below(counts: DataFrame, value: str, by: list[str], n: str) -> DataFrame:
+    """Of each distinct value of a group (``n`` rows each): ``_before``, the rows of smaller values, and ``_size``, all rows.
+
+    A histogram of coarse buckets, and one of fine buckets inside each, say how many rows lie before a bucket; only the
+    values of one fine bucket are sorted together. Nothing runs before the result is asked for.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    frozen = (
-        df.sort(*by, *order)
-        .withColumns({"_run": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
-        .checkpoint()
+    v = F.col(value).cast("double")
+    coded = counts.withColumns({"_coarse": _code(v, COARSE), "_fine": _code(v, FINE)})
+    fine = coded.groupBy(*by, "_coarse", "_fine").agg(F.sum(n).alias("_n"))
+    inner = Window.partitionBy(*by, "_coarse")
+    fine = fine.withColumns(
+        {
+            "_in_coarse": F.coalesce(F.sum("_n").over(inner.orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_n_coarse": F.sum("_n").over(inner),
+        }
     )
-    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    runs = frozen.groupBy(*by, "_run").agg(F.min("_seq").alias("_first"), n.alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    offsets = runs.select(
-        *by,
-        "_run",
-        "_first",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("_total"),
+    coarse = fine.groupBy(*by, "_coarse").agg(F.max("_n_coarse").alias("_n"))
+    outer = Window.partitionBy(*by)
+    coarse = coarse.select(
+        *by, "_coarse", F.coalesce(F.sum("_n").over(outer.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_outside"),
+        F.sum("_n").over(outer).alias("_size"),
     )
-    if weight is not None:
-        frozen = frozen.withColumn("_inside", F.sum(weight).over(Window.partitionBy(*by, "_run").orderBy("_seq")))
-    inside = F.col("_seq") - F.col("_first") + 1 if weight is None else F.col("_inside")
-    ranked = match(frozen, offsets, [*by, "_run"]).withColumn(rank, inside + F.col("_before"))
-    if size:
-        ranked = ranked.withColumn(size, F.col("_total"))
-    return ranked.drop("_run", "_seq", "_first", "_before", "_total", "_inside")
+    buckets = match(fine.select(*by, "_coarse", "_fine", "_in_coarse"), coarse, [*by, "_coarse"])
+    placed = match(coded, buckets, [*by, "_coarse", "_fine"])
+    smaller = Window.partitionBy(*by, "_coarse", "_fine").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(n).over(smaller), F.lit(0)) + F.col("_in_coarse") + F.col("_outside")
+    return placed.withColumn("_before", before).drop("_coarse", "_fine", "_in_coarse", "_outside")
 
 
 def duration_curve(df: DataFrame, value: str, by: list[str], tiebreak: list[str], name: str = "counter") -> DataFrame:
-    """Rank from the largest absolute value down, ties in ``tiebreak`` order."""
-    order = [F.abs(F.col(value)).desc_nulls_last(), *[F.col(c).asc() for c in tiebreak]]
-    return with_rank(df, by, order, rank=name)
+    """Rank from the largest absolute value down, ties in ``tiebreak`` order; missing values and NaN come last.
+
+    Equal values count as one when ranks are sought; their rows are numbered like those of a series, in pieces.
+    """
+    key = "_size_of_value"
+    keyed = df.withColumn(key, F.coalesce(-F.abs(F.col(value)).cast("double"), F.lit(float("nan"))))
+    placed = with_position(keyed, [*by, key], tiebreak, position="_tie", length="_ties")
+    below = rows_below(keyed.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_n")), key, by, "_n")
+    ranked = match(placed, below.select(*by, key, "_before"), [*by, key])
+    return ranked.withColumn(name, F.col("_before") + F.col("_tie")).drop(key, "_tie", "_ties", "_before")
 
 
 def every_kth(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:

@@ -30,7 +30,7 @@ def catchment_climate(
     """Mean temperature and precipitation volume per catchment and month, with moving means.
 
     ``data`` is long by variable and elevation band, ``bands`` gives the band areas. The historical
-    run is not averaged. Both variables are reduced in one pass over the data.
+    run is not averaged, and only the others' rows enter the moving means. Both variables are reduced in one pass over the data.
     """
     site = ["Scenario", "Catchment_num", "Catchment_name", "State"]
     month = [*site, "Year", "Month"]
@@ -72,22 +72,12 @@ def catchment_climate(
             F.col("_row.km3").alias("Precip_km3"),
         )
     )
+    means = {"Precip_km3": "avg_Precip_km3", "tavg_C": "avg_tavg_C"}
     averaged = strided_mean(
-        monthly,
-        {"Precip_km3": "avg_Precip_km3", "tavg_C": "avg_tavg_C"},
-        site,
-        ["Year", "Month"],
-        stride,
-        half_width,
-        include_last=False,
-    )
-    return averaged.withColumns(
-        {
-            "avg_Precip_km3": F.when(past, F.col("Precip_km3")).otherwise(F.col("avg_Precip_km3")),
-            "avg_tavg_C": F.when(past, F.col("tavg_C")).otherwise(F.col("avg_tavg_C")),
-            "Region": region_of("State"),
-        }
+        monthly.where(F.col("Scenario") != historical), means, site, ["Year", "Month"], stride, half_width, include_last=False
     )
+    as_is = monthly.where(past).withColumns({mean: F.col(value) for value, mean in means.items()})
+    return averaged.unionByName(as_is).withColumn("Region", region_of("State"))
 
 
 def historical_means(monthly: DataFrame, historical: str = HISTORICAL) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.calendar import days_in_month, positional_int
 from ..functions.missing import is_undefined, na_mean, r_div
 from ..functions.units import average_megawatt
-from ..operators.matching import fallback_lookup, match
+from ..operators.matching import fallback_lookup, match, per_scenario
 from ..operators.ordered import strided_mean
+from ..sources.parameters import scenario_names
 
 SAMPLED_YEARS = list(range(2025, 2056, 5))
 TYPICAL_YEAR = 2021  # any year of 365 days
@@ -97,14 +98,14 @@ def apply_ratio_with_fallback(
     zone_ratios: DataFrame,
     projects: DataFrame,
     nearest: DataFrame,
-    scenarios: DataFrame,
+    scenarios: list[str] | DataFrame,
 ) -> DataFrame:
     """Scale average and minimum flows by the project's ratio, else by its lookup zone's mean ratio.
 
     ``hydro`` (hydro_project, ts_period, month, flows) has no scenario; ``scenarios`` lists the runs
     to produce, and every row is repeated for each of them.
     """
-    runs = hydro.withColumn("scenario", F.explode(scenarios.agg(F.collect_set("scenario")).scalar()))
+    runs = per_scenario(hydro, scenario_names(scenarios))
     own = mapped.select(
         "scenario",
         F.col("project").alias("hydro_project"),

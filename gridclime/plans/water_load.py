@@ -9,8 +9,9 @@ from ..functions.calendar import days_in_month, with_compact_parts
 from ..functions.missing import na_sum, r_div
 from ..functions.recode import rank_in
 from ..functions.units import thousandfold, thousandth
-from ..operators.matching import match
+from ..operators.matching import match, per_scenario
 from ..operators.ordered import strided_mean
+from ..sources.parameters import scenario_names
 from ..operators.reshape import to_long
 from .hydro import SAMPLED_YEARS
 
@@ -50,13 +51,17 @@ def averaged_use(
     return sampled.select(*runs, *OBJECT_KEYS, "Year", "Month", name)
 
 
-def object_delta(reference: DataFrame, runs: DataFrame, mapping: DataFrame, **window) -> DataFrame:
-    """Change of every object between the reference and each run, with its sector, zone and use."""
+def object_delta(
+    reference: DataFrame, runs: DataFrame, mapping: DataFrame, scenarios: list[str] | DataFrame | None = None, **window
+) -> DataFrame:
+    """Change of every object between the reference and each run, with its sector, zone and use.
+
+    ``scenarios`` lists the runs; where it is not given they are looked up in ``runs``.
+    """
     base = averaged_use(reference, "Reference_ElectricityUse_GWh", [], **window)
     climate = averaged_use(runs, "CC_ElectricityUse_GWh", ["scenario"], **window)
     mapped = match(base, mapping, OBJECT_KEYS)
-    scenarios = runs.agg(F.collect_set("scenario")).scalar()
-    per_run = mapped.withColumn("scenario", F.explode(scenarios))
+    per_run = per_scenario(mapped, scenario_names(runs if scenarios is None else scenarios))
     joined = match(per_run, climate, ["scenario", *OBJECT_KEYS, "Year", "Month"])
     return joined.withColumns(
         {
@@ -112,14 +117,14 @@ def hourly_disaggregate(monthly: DataFrame, timepoints: DataFrame, weights: Data
 
 
 def guarded_add(
-    loads: DataFrame, delta: DataFrame, scenarios: DataFrame, fill_missing: float | None = None, ndigits: int = 3
+    loads: DataFrame, delta: DataFrame, scenarios: list[str] | DataFrame, fill_missing: float | None = None, ndigits: int = 3
 ) -> DataFrame:
     """Load plus the hourly change; a negative result keeps the original load.
 
     A zone without water objects has no change: its load becomes null, or keeps its value with
     ``fill_missing=0``.
     """
-    per_run = loads.withColumn("scenario", F.explode(scenarios.agg(F.collect_set("scenario")).scalar()))
+    per_run = per_scenario(loads, scenario_names(scenarios))
     joined = match(per_run, delta, {"scenario": "scenario", "LOAD_ZONE": "load_zone", "TIMEPOINT": "timepoint_id"})
     change = F.col("Sampled_Delta_ElecUse_GWh")
     if fill_missing is not None:

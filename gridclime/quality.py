@@ -1,10 +1,14 @@
-"""Data-quality operators. Each returns the offending or the counted rows as a DataFrame."""
+"""Data-quality operators.
+
+Most return the offending or the counted rows as a DataFrame. Metrics are counted while a table is written: they cost
+no scan of their own, and ``require`` compares them with the values that a job expects.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .operators.matching import match
@@ -55,3 +59,37 @@ def weight_identity(timeseries: DataFrame, period_years: int, by: list[str], hou
     """Hours per year that the weights of a sample add up to, per period."""
     total = F.sum("scaling_to_period") * hours_per_day / F.lit(period_years)
     return timeseries.groupBy(*by).agg(total.alias("hours_in_year"))
+
+
+class CheckFailed(ValueError):
+    """A table's metrics are not what the job expects."""
+
+
+def mark_repeats(df: DataFrame, keys: list[str], name: str = "_repeat") -> DataFrame:
+    """True for all rows of a key combination but one; count them in the metrics instead of grouping the table again."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) > 1)
+
+
+def mark_group_size(df: DataFrame, by: list[str], name: str = "_group_size") -> DataFrame:
+    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*by)))
+
+
+def n_where(condition: Column | str) -> Column:
+    return F.count_if(F.expr(condition) if isinstance(condition, str) else condition)
+
+
+def observed(df: DataFrame, metrics: dict[str, Column], without: list[str] | None = None) -> tuple[DataFrame, Observation]:
+    """The rows, and what they will have been once an action has run over them: aggregates by name.
+
+    Columns ``without`` (marks) serve the metrics only and are dropped.
+    """
+    seen = Observation()
+    watched = df.observe(seen, *[c.alias(name) for name, c in metrics.items()])
+    return watched.drop(*(without or [])), seen
+
+
+def require(found: dict[str, object], expected: dict[str, object]) -> None:
+    """Raise CheckFailed where a metric differs from its expected value."""
+    wrong = [f"{name} is {found.get(name)}, not {value}" for name, value in expected.items() if found.get(name) != value]
+    if wrong:
+        raise CheckFailed("; ".join(wrong))

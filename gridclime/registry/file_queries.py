@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import quality
+from ..operators.matching import range_lookup
 from ..session import scratch
 from ..sources import parameters, sinks, tables, text_files
 from ..sources.sinks import write_files
@@ -341,6 +343,42 @@ def q_new_path(spark, sf):
     return shape(parts[0].unionByName(parts[1]), ["version", "p_brand", "size"])
 
 
+def q_checked_write(spark, sf):
+    """Metrics of a table, counted by the job that writes it: rows, repeated keys, unmapped rows, months without 12 rows."""
+    lines = table(spark, sf, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m")).agg(
+        F.sum("l_quantity").alias("q")
+    )
+    mapped = lines.join(table(spark, sf, "supplier").where("s_nationkey < 20"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    marked = quality.mark_group_size(quality.mark_repeats(mapped, ["l_suppkey", "y", "m"]), ["l_suppkey", "y"])
+    metrics = {
+        "n_rows": F.count(F.lit(1)),
+        "n_repeated": quality.n_where("_repeat"),
+        "n_unmapped": quality.n_where("s_suppkey is null"),
+        "n_in_short_years": quality.n_where("_group_size <> 12"),
+        "n_small": quality.n_where("q < 30"),
+        "quantity": F.sum("q"),
+    }
+    kept, found = sinks.rebuild_checked(
+        marked.select("l_suppkey", "y", "m", "q", "s_suppkey", "_repeat", "_group_size"), scratch(spark, "checked"), ["y"], metrics,
+        expected={"n_repeated": 0}, without=["_repeat", "_group_size"],
+    )
+    read = kept.agg(F.count(F.lit(1)).alias("n_read"))
+    return shape(read.withColumns({name: F.lit(value) for name, value in found.items()}), ["n_read", *list(metrics)[:-1]], {"quantity": 2})
+
+
+def q_period_lookup(spark, sf):
+    """Orders per investment period of a sampling configuration; two periods overlap and one is open."""
+    config = {
+        "study_timeframe": {"id": 7}, "sampling": {"id": 3},
+        "periods": {"1996": {"start_year": 1995, "end_year": 1997}, "1999": {"start_year": 1998, "end_year": 2000}, "2000": {"start_year": 2000, "end_year": 2000}},
+    }
+    periods = parameters.period_frame(spark, parameters.sampling_from_config(config))
+    periods = periods.withColumn("end_year", F.when(F.col("label") != "2000", F.col("end_year")))
+    days = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y"), "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    found = range_lookup(days, "y", periods.drop("study_timeframe_id", "length_yrs"), "start_year", "end_year")
+    return shape(found, ["y", "o_orderstatus", "period_id", "label", "start_year", "end_year", "n"])
+
+
 _YEARLY = "SELECT o_orderpriority, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2"
 QUERIES = {
     "series_files": (q_series_files, _SERIES_SQL),
@@ -371,6 +409,19 @@ QUERIES = {
         f"""WITH q AS ({_YEARLY}) SELECT 'former' AS version, o_orderpriority, y, n FROM q
         UNION ALL SELECT 'current', o_orderpriority, y, -n FROM q WHERE y % 2 = 0""",
     ),
+    "checked_write": (
+        q_checked_write,
+        """WITH q AS (SELECT l_suppkey, year(l_shipdate) AS y, month(l_shipdate) AS m, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3),
+        g AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey, y) AS size FROM q LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey < 20)
+        SELECT count(*) AS n_read, count(*) AS n_rows, 0 AS n_repeated, count(*) FILTER (s_suppkey IS NULL) AS n_unmapped,
+          count(*) FILTER (size <> 12) AS n_in_short_years, count(*) FILTER (q < 30) AS n_small, round(sum(q), 2) AS quantity FROM g""",
+    ),
+    "period_lookup": (
+        q_period_lookup,
+        """WITH p AS (SELECT * FROM (VALUES (1, '1996', 1995, 1997), (2, '1999', 1998, 2000), (3, '2000', 2000, NULL)) AS t(period_id, label, start_year, end_year)),
+        d AS (SELECT year(o_orderdate) AS y, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2)
+        SELECT y, o_orderstatus, period_id, label, start_year, end_year, n FROM d LEFT JOIN p ON y >= start_year AND (end_year IS NULL OR y <= end_year)""",
+    ),
     "new_path": (
         q_new_path,
         """WITH q AS (SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1)

@@ -6,7 +6,7 @@ common table expression.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ from ..functions.recode import Period
 
 PERIODS = [Period("1996", 1995, 1997), Period("1999", 1998, 2000)]
 BASELINE = "5-LOW"
+RUNS = ["A", "N", "R"]
+OTHERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
 YEARS = [1996, 1998, 2000]
 SLICES = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4}
 # (timeslice_id, hour start, hour end, month start, month end): plain, wrapping, null and empty bands
@@ -92,6 +94,10 @@ def shape(df: DataFrame, keys: list[str], values: dict[str, int] | None = None)
     return df.select(*columns)
 
 
+#: Relations that several others of a query read.
+READ_OFTEN = {"results", "points", "series", "loads_year", "dispatch_year"}
+
+
 def with_sql(names: str, select: str) -> str:
     """Select over the named relations and everything they build on, in definition order."""
     needed, queue = set(), names.split()
@@ -100,7 +106,7 @@ def with_sql(names: str, select: str) -> str:
         if n not in needed:
             needed.add(n)
             queue += DEPENDS.get(n, "").split()
-    parts = [f"{n} AS ({SQL[n]})" for n in SQL if n in needed]
+    parts = [f"{n} AS {'MATERIALIZED ' * (n in READ_OFTEN)}({SQL[n]})" for n in SQL if n in needed]
     return f"WITH {', '.join(parts)} {select}"
 
 
@@ -279,10 +285,6 @@ def hydro_series(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("scenario")).distinct()
-
-
 def month_timepoints(spark: SparkSession, sf: str) -> DataFrame:
     """First order date of every month and priority."""
     firsts = table(spark, sf, "orders").groupBy(
@@ -369,16 +371,9 @@ def water_timeseries(spark: SparkSession, sf: str) -> DataFrame:
 
 def hourly_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Share of each event type's value per hour of day, one column per type."""
-    events = table(spark, sf, "events")
-    hourly = events.groupBy(F.hour("ts").alias("Hour")).agg(
-        *[F.sum(F.when(F.col("event_type") == c, F.col("value"))).alias(c) for c in WEIGHT_CATEGORIES]
-    )
-    totals = events.agg(
-        *[F.sum(F.when(F.col("event_type") == c, F.col("value"))).alias(f"total_{c}") for c in WEIGHT_CATEGORIES]
-    )
-    whole = totals.select(F.struct(*totals.columns)).scalar()
-    shares = hourly.withColumn("_t", whole)
-    return shares.select("Hour", *[(F.col(c) / F.col(f"_t.total_{c}")).alias(c) for c in WEIGHT_CATEGORIES])
+    hourly = table(spark, sf, "events").groupBy("event_type", F.hour("ts").alias("Hour")).agg(F.sum("value").alias("_sum"))
+    share = F.col("_sum") / F.sum("_sum").over(Window.partitionBy("event_type"))
+    return hourly.withColumn("_share", share).groupBy("Hour").pivot("event_type", WEIGHT_CATEGORIES).agg(F.first("_share"))
 
 
 SECTOR_CATEGORY = {"Demand Site": "click", "Diversion": "view"}

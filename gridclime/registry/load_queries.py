@@ -272,7 +272,7 @@ def _applied(spark, sf):
         hy.zone_ratio(mapped),
         i.projects(spark, sf),
         i.nearest_zones(spark, sf),
-        i.runs(spark, sf),
+        i.RUNS,
     )
 
 
@@ -325,7 +325,7 @@ def q_reserve_value(spark, sf):
 
 def _objects(spark, sf):
     return wl.object_delta(
-        i.exports(spark, sf, True), i.exports(spark, sf, False), i.object_mapping(spark, sf), **SPAN
+        i.exports(spark, sf, True), i.exports(spark, sf, False), i.object_mapping(spark, sf), i.RUNS, **SPAN
     )
 
 
@@ -343,7 +343,7 @@ def _hourly(spark, sf):
 
 
 def _guarded(spark, sf, fill_missing=None):
-    return wl.guarded_add(i.loads(spark, sf), _hourly(spark, sf), i.runs(spark, sf), fill_missing)
+    return wl.guarded_add(i.loads(spark, sf), _hourly(spark, sf), i.RUNS, fill_missing)
 
 
 def q_water_energy_delta(spark, sf):

@@ -138,6 +138,17 @@ def q_gen_load_delta(spark, sf):
     return shape(_dispatch(spark, sf)["gen_load_delta"], keys, values)
 
 
+def q_gen_load_zone_delta(spark, sf):
+    keys = ["Scenario", "load_zone", "ts_period", "energy_category"]
+    values = {
+        "Energy_GWh_typical_yr": 5,
+        "Energy_GWh_typical_yr_baseline": 5,
+        "Delta_AnnualGen_GWh": 5,
+        "AnnualGen_perc_change_from_baseline": 3,
+    }
+    return shape(_dispatch(spark, sf)["gen_load_zone_delta"], keys, values)
+
+
 def _family_deltas(spark: SparkSession, sf: str, zones: bool = False) -> DataFrame:
     """Energy by category and zone with the order status as impact family, against the baseline."""
     family = i.choose("o_orderstatus", {"F": WATER_FAMILY, "O": COOLING_FAMILY, "P": COMBINED_FAMILY})
@@ -472,7 +483,7 @@ def q_scenario_delta_full(spark, sf):
         .groupBy(F.col("o_orderpriority").alias("Scenario"), F.col("o_orderdate").cast("date").alias("day"))
         .agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
-    d = de.scenario_delta(daily, BASELINE, ["day"], ["n"], how="full")
+    d = de.scenario_delta(daily, BASELINE, ["day"], ["n"], how="full", scenarios=i.OTHERS)
     sides = d.groupBy("Scenario").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("n").alias("with_scenario"),
@@ -680,6 +691,20 @@ def _box_sql() -> str:
 _SOURCES = [s for s in recode.ENERGY_SOURCES if s != "Curtailment"]
 _SEASON_KEYS = "Scenario, Season, period, Hour_local, day_type, source AS gen_energy_source"
 
+def _gen_load_delta_sql(names: str, keys: str, more: str = "") -> str:
+    return with_sql(
+        names,
+        f"""{more}, g AS MATERIALIZED (
+          SELECT Scenario, {keys}, CASE WHEN energy_category = 'zone_demand_GWh' THEN -gwh ELSE gwh END AS gwh FROM gen_load
+        ), paired AS (
+          SELECT *, max(CASE WHEN Scenario = '5-LOW' THEN gwh END) OVER (PARTITION BY {keys}) AS base FROM g
+        )
+        SELECT Scenario, {keys}, round(gwh, 5) AS Energy_GWh_typical_yr, round(base, 5) AS Energy_GWh_typical_yr_baseline,
+          round(gwh - base, 5) AS Delta_AnnualGen_GWh, round((gwh - base) / base, 3) + 0.0 AS AnnualGen_perc_change_from_baseline
+        FROM paired WHERE Scenario <> '5-LOW'""",
+    )
+
+
 QUERIES = {
     "capacity_online_zone": (
         q_capacity_online_zone,
@@ -735,12 +760,18 @@ QUERIES = {
         q_gen_load_wide,
         with_sql("gen_load", f"SELECT Scenario, ts_period, {_wide_sql(recode.ENERGY_SOURCES + co.LOAD_CATEGORIES, 'gwh', 'energy_category', 5)} FROM gen_load GROUP BY 1, 2"),
     ),
-    "gen_load_delta": (
-        q_gen_load_delta,
-        with_sql("gen_load", "@").replace(" @", """, g AS (SELECT Scenario, ts_period, energy_category, CASE WHEN energy_category = 'zone_demand_GWh' THEN -gwh ELSE gwh END AS gwh FROM gen_load)
-            SELECT a.Scenario, a.ts_period, a.energy_category, round(a.gwh, 5) AS Energy_GWh_typical_yr, round(b.gwh, 5) AS Energy_GWh_typical_yr_baseline,
-            round(a.gwh - b.gwh, 5) AS Delta_AnnualGen_GWh, round((a.gwh - b.gwh) / b.gwh, 3) + 0.0 AS AnnualGen_perc_change_from_baseline FROM g a
-            LEFT JOIN g b ON b.Scenario = '5-LOW' AND a.ts_period = b.ts_period AND a.energy_category = b.energy_category WHERE a.Scenario <> '5-LOW'"""),
+    "gen_load_delta": (q_gen_load_delta, _gen_load_delta_sql("gen_load", "ts_period, energy_category")),
+    "gen_load_zone_delta": (
+        q_gen_load_zone_delta,
+        _gen_load_delta_sql(
+            "dispatch_year loads_year",
+            "load_zone, ts_period, energy_category",
+            """, gen_load AS (SELECT Scenario, gen_load_zone AS load_zone, period AS ts_period, source AS energy_category, gwh FROM dispatch_year
+            UNION ALL SELECT Scenario, load_zone, ts_period, 'zone_demand_GWh', demand FROM loads_year
+            UNION ALL SELECT Scenario, load_zone, ts_period, 'ZoneTotalCentralDispatch_GWh', central FROM loads_year
+            UNION ALL SELECT Scenario, load_zone, ts_period, 'TXPowerNet_GWh', tx FROM loads_year
+            UNION ALL SELECT Scenario, load_zone, ts_period, 'StorageNetCharge_GWh', storage FROM loads_year)""",
+        ),
     ),
     "load_hydro_disaggregation": (
         q_load_hydro_disaggregation,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,7 +37,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/gridclime-{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
+def staged(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back: it runs once, and Spark knows its size when it plans a join."""
+    path = scratch(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,14 +8,13 @@ adds that to the place inside the range. First lines come from a probe that stop
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import staged
 
 #: Files in one task of the probe never share it with another file when opening one is said to cost this much.
 APART = 1 << 40
@@ -32,14 +31,6 @@ def path_part(path: Column, from_end: int) -> Column:
     return F.element_at(F.split(path, "/"), -from_end)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read back, so that Spark knows its size when it plans a join."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def is_blank(line: Column) -> Column:
     return F.trim(line) == ""
 

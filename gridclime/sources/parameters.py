@@ -125,6 +125,19 @@ def scenario_dimension(
     )
 
 
+def scenario_names(given: list[str] | DataFrame, column: str = "scenario") -> list[str]:
+    """The scenarios that a plan produces rows for: a list without gaps and repeats, in its order.
+
+    Of a frame, such as ``scenario_dimension``, the distinct names are looked up when this is called.
+    """
+    if isinstance(given, DataFrame):
+        found = given.select(column).distinct().collect()
+        return sorted(r[0] for r in found if r[0] is not None)
+    if any(n is None for n in given) or len(set(given)) < len(given):
+        raise ValueError(f"scenario names are given once each: {given}")
+    return list(given)
+
+
 def alias_frame(spark: SparkSession, aliases: dict[str, str]) -> DataFrame:
     """Spelling used by another stage to scenario name."""
     return spark.createDataFrame(list(aliases.items()), "alias string, Scenario string")

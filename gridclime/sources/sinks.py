@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folders import Folder
-from .versions import KeyExistsError, read_version, rebuild, vacuum, versions, write_keyed
+from .versions import KeyExistsError, read_version, rebuild, rebuild_checked, vacuum, versions, write_keyed
 
 __all__ = [
-    "KeyExistsError", "export_by_scenario", "materialise", "read_version", "rebuild", "vacuum", "versions", "write_csv",
+    "KeyExistsError", "export_by_scenario", "materialise", "read_version", "rebuild", "rebuild_checked", "vacuum", "versions", "write_csv",
     "write_files", "write_keyed", "write_new", "write_outputs",
 ]
 

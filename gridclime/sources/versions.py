@@ -13,9 +13,11 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..quality import CheckFailed, observed, require
 from .folders import Folder
 
 
@@ -78,15 +80,33 @@ def _commit(spark: SparkSession, path: str, schema: T.StructType, folders: Calla
             return number
 
 
-def rebuild(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Replace the whole table; the former version stays and can be read by its number."""
+def rebuild_checked(
+    df: DataFrame, path: str, partition_by: list[str] | None, metrics: dict[str, Column], expected: dict[str, object],
+    without: list[str] | None = None,
+) -> tuple[DataFrame, dict[str, object]]:
+    """Replace the whole table, and count ``metrics`` in the job that writes it.
+
+    Where one of them is not as ``expected``, CheckFailed is raised before the new version becomes current. Columns
+    ``without`` are for metrics only and are not written.
+    """
     spark = df.sparkSession
-    write = _stage(df, path, partition_by or [])
+    watched, seen = observed(df, metrics, without)
+    write = _stage(watched, path, partition_by or [])
+    try:
+        require(seen.get, expected)
+    except CheckFailed:
+        Folder(spark, path).delete(f"data/{write}")
+        raise
     named = [write]
     if partition_by:
         named = [f"{write}/{n}" for n in Folder(spark, path).names(f"data/{write}") if "=" in n]
-    _commit(spark, path, df.schema, lambda _: named)
-    return read_version(spark, path)
+    _commit(spark, path, watched.schema, lambda _: named)
+    return read_version(spark, path), seen.get
+
+
+def rebuild(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Replace the whole table; the former version stays and can be read by its number."""
+    return rebuild_checked(df, path, partition_by, {"n_rows": F.count(F.lit(1))}, {})[0]
 
 
 def write_keyed(df: DataFrame, path: str, key: str, overwrite: bool = False) -> DataFrame:
