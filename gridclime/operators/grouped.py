@@ -45,18 +45,20 @@ def first_peak(df: DataFrame, value: str, by: list[str], order: str) -> DataFram
     )
 
 
-def nearest_to_median(df: DataFrame, value: str, by: list[str], order: str, ndigits: int = 9) -> DataFrame:
-    """Row whose value is nearest to the group's median, the first one on ties.
+def nearest_to_median(df: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
+    """Row whose value is nearest to the group's median, the first one on ties; missing values are skipped.
 
-    Groups are short (the days of a month). In a group of even size the two middle rows are equally
-    near; distances are rounded to ``ndigits`` so that floating noise does not choose between them.
+    Nearest are the middle value of an odd number of rows, and both middle values of an even number, which lie equally
+    far from their mean: values are compared, no distance is taken, so there is nothing to round. Groups are short (the
+    days of a month).
     """
-    whole = Window.partitionBy(*by)
-    distance = F.round(F.abs(F.col(value) - F.median(value).over(whole)), ndigits)
-    nearest = df.withColumn("_distance", distance).groupBy(*by).agg(
-        F.min(F.struct("_distance", order)).alias("_best")
-    )
-    return nearest.select(*by, F.col(f"_best.{order}").alias(order))
+    v = F.col(value)
+    whole, sorted_ = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value)
+    ranked = df.where(v.isNotNull()).withColumns({"_rank": F.row_number().over(sorted_), "_n": F.count(F.lit(1)).over(whole)})
+    middle = (2 * F.col("_rank")).between(F.col("_n"), F.col("_n") + 2)
+    low, high = F.min(F.when(middle, v)).over(whole), F.max(F.when(middle, v)).over(whole)
+    near = ranked.withColumns({"_low": low, "_high": high}).where((v == F.col("_low")) | (v == F.col("_high")))
+    return near.groupBy(*by).agg(F.min(order).alias(order))
 
 
 def five_number(df: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -166,6 +166,32 @@ def load_response(
     )
 
 
+def banded_response(
+    demand: DataFrame,
+    slopes: DataFrame,
+    bands: DataFrame,
+    demand_scenario_id: int | None = None,
+    utc_offset_hours: int = -8,
+    id_column: str = "timeslice_id",
+) -> DataFrame:
+    """``load_response`` from the bands themselves, with each hour's demand as ``baseline_load_mw``.
+
+    Demand rows meet the bands by month and hour and the slopes by zone and band, so demand is read once for the
+    response and for the sum that ``with_baseline`` makes of it.
+    """
+    if demand_scenario_id is not None:
+        demand = demand.where(F.col("demand_scenario_id") == demand_scenario_id)
+    local = shifted("timestamp_utc", utc_offset_hours)
+    keys = ["raw_timepoint_id", "timestamp_utc", "load_zone_id", "load_zone_name"]
+    hours = demand.select(
+        *keys, F.col("demand_mw").alias("baseline_load_mw"), F.month(local).alias("band_month"), F.hour(local).alias("band_hour")
+    )
+    banded = hours.join(expand_bands(bands, id_column), ["band_month", "band_hour"])
+    return banded.join(slopes, ["load_zone_id", "load_zone_name", id_column]).select(
+        *keys[:2], id_column, *keys[2:], "type_degree_days", "zone_response_mw_per_delta_dd", "baseline_load_mw"
+    )
+
+
 def avg_slope_by_year(response: DataFrame, year: int | None = 2050) -> DataFrame:
     """Mean hourly response per zone and type of one year (or of every year)."""
     dated = response.withColumn("year", F.year("timestamp_utc"))
@@ -195,12 +221,20 @@ def load_change(response: DataFrame, daily: DataFrame, scenarios: list[str] | No
 
 
 def net_change(change: DataFrame) -> DataFrame:
-    """Heating and cooling changes summed per hour, zone and scenario."""
+    """Heating and cooling changes summed per hour, zone and scenario; the hour's demand is carried along if it is there."""
+    carried = [c for c in ("baseline_load_mw",) if c in change.columns]
     return change.groupBy(
-        "raw_timepoint_id", "timestamp_utc", "timestamp_date", "load_zone_id", "load_zone_name", "climate_scenario"
+        "raw_timepoint_id", "timestamp_utc", "timestamp_date", "load_zone_id", "load_zone_name", "climate_scenario", *carried
     ).agg(F.sum("added_demand_mw").alias("net_added_demand_mw"))
 
 
+def with_baseline(net: DataFrame) -> DataFrame:
+    """Demand plus the net change of every scenario, from net changes that carry their hour's demand."""
+    keys = ["load_zone_id", "load_zone_name", "raw_timepoint_id", "timestamp_utc"]
+    final = F.col("baseline_load_mw") + F.col("net_added_demand_mw")
+    return net.select(*keys, "baseline_load_mw", "net_added_demand_mw", "climate_scenario", final.alias("final_demand_mw"))
+
+
 def adjust_demand(demand: DataFrame, net: DataFrame, demand_scenario_id: int | None = None) -> DataFrame:
     """Baseline demand plus the net change of every scenario."""
     if demand_scenario_id is not None:
@@ -258,6 +292,5 @@ def adjusted_demand(
     clim = climatology(degree_days(history))
     daily = averaged_delta(climatology_delta(degree_days(temperatures), clim))
     zone_slopes = areal_interpolate(slopes, fractions)
-    timepoints = demand.select("raw_timepoint_id", "timestamp_utc").distinct()
-    response = load_response(demand, zone_slopes, band_map(timepoints, bands), demand_scenario_id)
-    return adjust_demand(demand, net_change(load_change(response, daily)), demand_scenario_id)
+    response = banded_response(demand, zone_slopes, bands, demand_scenario_id)
+    return with_baseline(net_change(load_change(response, daily)))

@@ -110,8 +110,7 @@ def sample_weights(
             "_years": length.otherwise(None),
         }
     )
-    months = dated.groupBy(*by, "period_id").agg(F.count_distinct("name").alias("no_timeseries"))
-    scaled = match(dated, months, [*by, "period_id"]).withColumn(
+    scaled = dated.withColumn(
         "scaling_to_period",
         F.col("_years") * 24 * F.col("no_days") / (F.col("hours_per_tp") * F.col("num_timepoints")),
     )
@@ -127,7 +126,7 @@ def sampled_timeseries(
     by = by or []
     days = weighted.dropDuplicates([*by, "period_id", "id_column"])
     # a sample has two days per month of each period
-    order = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy("first_timepoint_utc", "id_column")
+    order = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy("first_timepoint_utc", "id_column", "period_id")
     return days.select(
         *by,
         (F.row_number().over(order) - 1).alias("sampled_timeseries_id"),
@@ -143,6 +142,26 @@ def sampled_timeseries(
     )
 
 
+def numbered_timepoints(
+    weighted: DataFrame, study_timeframe_id: int, time_sample_id: int, by: list[str] | None = None
+) -> DataFrame:
+    """Sampled timepoints with the id of their series: its rank among the sample's days, as in ``sampled_timeseries``.
+
+    A sample has two days per month of each period, so its timepoints are numbered together.
+    """
+    by = by or []
+    order = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy("first_timepoint_utc", "id_column", "period_id")
+    return weighted.select(
+        *by,
+        "raw_timepoint_id",
+        F.lit(study_timeframe_id).alias("study_timeframe_id"),
+        F.lit(time_sample_id).alias("time_sample_id"),
+        (F.dense_rank().over(order) - 1).alias("sampled_timeseries_id"),
+        "period_id",
+        "timestamp_utc",
+    )
+
+
 def sampled_timepoints(weighted: DataFrame, timeseries: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sampled timepoints with the id of their series."""
     by = by or []

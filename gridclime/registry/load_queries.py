@@ -46,7 +46,7 @@ def _band_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _response(spark: SparkSession, sf: str) -> DataFrame:
-    return dd.load_response(i.demand(spark, sf), _slopes(spark, sf), _band_map(spark, sf), 115)
+    return dd.banded_response(i.demand(spark, sf), _slopes(spark, sf), i.bands(spark), 115)
 
 
 def _change(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +54,7 @@ def _change(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def adjusted_demand(spark: SparkSession, sf: str) -> DataFrame:
-    adjusted = dd.adjust_demand(i.demand(spark, sf), dd.net_change(_change(spark, sf)), 115)
+    adjusted = dd.with_baseline(dd.net_change(_change(spark, sf)))
     return shape(
         adjusted,
         ["climate_scenario", "load_zone_id", "load_zone_name", "raw_timepoint_id", "timestamp_utc"],
@@ -228,7 +228,7 @@ def q_sampled_timeseries(spark, sf):
 
 
 def q_sampled_timepoints(spark, sf):
-    points = sa.sampled_timepoints(_weighted(spark, sf), _series(spark, sf), ["run"])
+    points = sa.numbered_timepoints(_weighted(spark, sf), 39, 38, ["run"])
     keys = ["run", "raw_timepoint_id", "study_timeframe_id", "time_sample_id", "sampled_timeseries_id", "period_id",
             "timestamp_utc"]
     return shape(points, keys)
