@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import quality
 from ..operators import grouped, ordered
+from ..plans import compare as co
 from ..plans import degree_days as dd
 from ..plans import hydro as hy
 from ..plans import sampling as sa
@@ -146,6 +147,13 @@ def q_avg_slope_by_year(spark, sf):
     return shape(dd.avg_slope_by_year(_response(spark, sf), 2024), keys, {"avg_response_mw_per_delta_dd": 6})
 
 
+def q_slopes_with_centroids(spark, sf):
+    """Mean response of the zones outside Canada and Mexico with their coordinates."""
+    named = dd.avg_slope_by_year(_response(spark, sf), 2024).withColumn("load_zone_name", i.choose("load_zone_id", i.ZONES))
+    placed = co.slopes_with_centroids(named, i.zone_centroids(spark, sf))
+    return shape(placed, ["load_zone_id", "load_zone_name", "type_degree_days", "X", "Y"], {"avg_response_mw_per_delta_dd": 6})
+
+
 def q_load_change(spark, sf):
     keys = [*RESPONSE_KEYS, "timestamp_date", "climate_scenario"]
     return shape(_change(spark, sf), keys, {"avg_delta_degree_day_C": 5, "added_demand_mw": 4})
@@ -168,6 +176,27 @@ def q_publish_scenarios(spark, sf):
     return shape(master, keys, {"demand_mw": 4})
 
 
+def q_published_ids(spark, sf):
+    """The rows that describe the new demand scenarios, one per order status, with the orders behind each."""
+    known = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    ids = known.select(
+        F.concat(F.lit("S"), "o_orderstatus").alias("climate_scenario"), (F.ascii("o_orderstatus") + 100).alias("demand_scenario_id"),
+        F.concat(F.lit("load "), "o_orderstatus").alias("name"), F.concat(F.lit("id 115 + "), F.col("n").cast("string")).alias("description"),
+    )
+    adjusted = i.demand(spark, sf).select(
+        "load_zone_id", "raw_timepoint_id", "load_zone_name", "timestamp_utc", F.lit("SF").alias("climate_scenario"), F.col("demand_mw").alias("final_demand_mw")
+    )
+    series, header = dd.publish_series(adjusted, ids)
+    counted = series.groupBy("demand_scenario_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return shape(header.join(counted, "demand_scenario_id", "left"), ["demand_scenario_id", "name", "description", "n_rows"])
+
+
+def q_negative_demand_days(spark, sf):
+    """Dates with a negative hour, of customers' balances spread over the hours of events."""
+    hours = table(spark, sf, "events").join(table(spark, sf, "customer"), F.col("user_id") == F.col("c_custkey"))
+    return shape(quality.negative_demand_days(hours, "c_acctbal", "ts"), ["date"])
+
+
 def q_clone_scenario(spark, sf):
     base = table(spark, sf, "nation")
     overrides = table(spark, sf, "region").select(
@@ -314,6 +343,11 @@ def q_capacity_factor_above_one(spark, sf):
     return shape(listed, ["scenario", "hydro_project", "timeseries"], {"check_CC_cf": 5})
 
 
+def q_minimum_factor_above_one(spark, sf):
+    listed = quality.above(_applied(spark, sf), "check_CC_cf_min", 1.0)
+    return shape(listed, ["scenario", "hydro_project", "timeseries"], {"check_CC_cf_min": 5})
+
+
 def q_reserve_value(spark, sf):
     series = hy.adjusted_series(hy.derate_clamp(_applied(spark, sf)))
     values = hy.reserve_value(series, i.projects(spark, sf), i.month_timepoints(spark, sf))
@@ -412,6 +446,26 @@ _MONTH = "CAST(substr(p.timestamp, 5, 2) AS BIGINT) AS Month"
 _YEAR = "CAST(substr(p.timestamp, 1, 4) AS BIGINT) AS Year"
 
 QUERIES = {
+    "minimum_factor_above_one": (
+        q_minimum_factor_above_one,
+        with_sql("applied", "SELECT scenario, hydro_project, timeseries, round(min_cc / cap, 5) AS check_CC_cf_min FROM applied WHERE min_cc / cap > 1"),
+    ),
+    "slopes_with_centroids": (
+        q_slopes_with_centroids,
+        with_sql("response", f""", slopes AS (SELECT load_zone_id, {i.sql_choose("load_zone_id", i.ZONES)} AS load_zone_name, type_degree_days, avg(slope) AS slope
+            FROM response WHERE year(timestamp_utc) = 2024 GROUP BY 1, 2, 3)
+            SELECT s.load_zone_id, s.load_zone_name, type_degree_days, X, Y, round(slope, 6) AS avg_response_mw_per_delta_dd FROM slopes s
+            LEFT JOIN (SELECT n_regionkey AS k, count(*) AS X, count(DISTINCT s_nationkey) AS Y FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) c ON c.k = s.load_zone_id WHERE load_zone_name NOT IN ('CAN_ALB', 'CAN_BC', 'MEX_BAJA')"""),
+    ),
+    "published_ids": (
+        q_published_ids,
+        with_sql("demand", """SELECT ascii(o_orderstatus) + 100 AS demand_scenario_id, 'load ' || o_orderstatus AS name, 'id 115 + ' || count(*) AS description,
+            CASE WHEN o_orderstatus = 'F' THEN (SELECT count(*) FROM demand) END AS n_rows FROM orders GROUP BY o_orderstatus"""),
+    ),
+    "negative_demand_days": (
+        q_negative_demand_days,
+        "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS date FROM events JOIN customer ON user_id = c_custkey WHERE c_acctbal < 0",
+    ),
     "degree_days": (q_degree_days, with_sql("dd", f"SELECT Scenario, load_zone, {DATE}, HDD, CDD FROM dd")),
     "climatology": (
         q_climatology,

@@ -289,6 +289,12 @@ def q_monthly_system_load_delta(spark, sf):
     return shape(known, keys, values)
 
 
+def q_monthly_us_load_delta(spark, sf):
+    keys = ["Scenario", "Month", "Year", "ts_period"]
+    values = {"zone_demand_mw": 3, "zone_demand_mw_baseline": 3, "Delta_zone_demand_mw": 3, "Delta_perc_zone_demand_mw": 7}
+    return shape(_monthly(spark, sf)["us"], keys, values)
+
+
 def q_duration_curve(spark, sf):
     curve = co.system_duration_curve(_hourly(spark, sf))
     return shape(curve, ["Scenario", "ts_period", "timestamp", "counter"], {"zone_demand_mw": 2})
@@ -335,6 +341,13 @@ def q_seasonal_dispatch_dense(spark, sf):
     return shape(_seasonal_delta(spark, sf, True), keys, {"DispatchGen_MW": 5, "Delta_DispatchGen_MW": 5})
 
 
+def q_focus_dispatch(spark, sf):
+    """One scenario's peak days of one period, dense over the hours, sources and seasons that have a baseline."""
+    chosen = co.focus_dispatch(_seasonal_delta(spark, sf, True), "1-URGENT", "peak_day", 1998)
+    keys = ["Scenario", "Season", "period", "Hour_local", "day_type", "gen_energy_source"]
+    return shape(chosen, keys, {"DispatchGen_MW": 5, "DispatchGen_MW_baseline": 5, "Delta_DispatchGen_MW": 5})
+
+
 def q_hydro_monthly_delta(spark, sf):
     keys = ["Scenario", "period", "Month"]
     values = {"Monthly_DispatchGen_MW": 2, "Monthly_DispatchGen_MW_baseline": 2, "Delta_Monthly_DispatchGen_MW": 2,
@@ -376,6 +389,12 @@ def q_tx_edges(spark, sf):
     return shape(edges, keys, values)
 
 
+def q_tx_edges_long(spark, sf):
+    edges = co.tx_edges(i.transmission(spark, sf), i.nation_zones(spark, sf), i.nation_centroids(spark, sf))
+    long = co.tx_edges_long(edges)
+    return shape(long, ["Scenario", "TRANSMISSION_LINE", "PERIOD", "LOAD_ZONE1", "LOAD_ZONE2", "Tx_type"], {"Tx_GW": 8})
+
+
 def _map_table(spark, sf):
     return co.zone_map_table(_capacity(spark, sf)["zone_delta"], i.zone_centroids(spark, sf), list(range(1995, 2003)))
 
@@ -575,6 +594,13 @@ def q_pivot_fill(spark, sf):
     return shape(wide, ["day", "o_orderpriority"], {"F": 2, "O": 2, "P": 2})
 
 
+def q_pivot_nulls(spark, sf):
+    """Absent combinations stay null."""
+    daily = table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    wide = reshape.pivot_fill(daily, ["day", "o_orderpriority"], "o_orderstatus", "o_totalprice", ["F", "O", "P"], fill=None)
+    return shape(wide, ["day", "o_orderpriority"], {"F": 2, "O": 2, "P": 2})
+
+
 def q_densify(spark, sf):
     daily = (
         table(spark, sf, "orders")
@@ -813,6 +839,34 @@ QUERIES = {
         with_sql("system_month", """SELECT Scenario, Month, Year, ts_period, round(demand, 3) AS zone_demand_mw, round(base, 3) AS zone_demand_mw_baseline,
             round(demand - base, 3) + 0.0 AS Delta_zone_demand_mw, round((demand - base) / base, 7) + 0.0 AS Delta_perc_zone_demand_mw FROM system_month"""),
     ),
+    "monthly_us_load_delta": (
+        q_monthly_us_load_delta,
+        with_sql("month_delta", """, us AS (SELECT Scenario, Month, Year, ts_period, CASE WHEN count(demand_b) = count(*) THEN -sum(demand_b) END AS base,
+              -sum(demand) AS demand FROM month_delta WHERE load_zone NOT IN ('CAN_ALB', 'CAN_BC', 'MEX_BAJA') GROUP BY 1, 2, 3, 4)
+            SELECT Scenario, Month, Year, ts_period, round(demand, 3) AS zone_demand_mw, round(base, 3) AS zone_demand_mw_baseline,
+            round(demand - base, 3) + 0.0 AS Delta_zone_demand_mw, round((demand - base) / base, 7) + 0.0 AS Delta_perc_zone_demand_mw FROM us"""),
+    ),
+    "focus_dispatch": (
+        q_focus_dispatch,
+        with_sql("season_delta", """, c AS MATERIALIZED (SELECT * FROM season_delta WHERE Scenario = '1-URGENT' AND day_type = 'peak_day' AND period = 1998 AND base IS NOT NULL)
+            SELECT '1-URGENT' AS Scenario, e.Season, 1998 AS period, h.Hour_local, 'peak_day' AS day_type, o.source AS gen_energy_source,
+            round(coalesce(c.mw, 0), 5) AS DispatchGen_MW, round(coalesce(c.base, 0), 5) AS DispatchGen_MW_baseline, round(coalesce(c.mw - c.base, 0), 5) + 0.0 AS Delta_DispatchGen_MW
+            FROM (SELECT DISTINCT Season FROM c) e, (SELECT DISTINCT Hour_local FROM c) h, (SELECT DISTINCT source FROM c) o
+            LEFT JOIN c ON c.Season = e.Season AND c.Hour_local = h.Hour_local AND c.source = o.source"""),
+    ),
+    "pivot_nulls": (
+        q_pivot_nulls,
+        """SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS F,
+        round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS O, round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 2) AS P
+        FROM orders GROUP BY 1, 2""",
+    ),
+    "tx_edges_long": (
+        q_tx_edges_long,
+        with_sql("tx", """SELECT Scenario, line AS TRANSMISSION_LINE, PERIOD, a.n_name AS LOAD_ZONE1, b.n_name AS LOAD_ZONE2, t.Tx_type,
+            round(CASE t.k WHEN 0 THEN nameplate ELSE existing END / 1000, 8) AS Tx_GW FROM tx JOIN nation a ON a.n_nationkey = CAST(lz1 AS INTEGER)
+            JOIN nation b ON b.n_nationkey = CAST(lz2 AS INTEGER),
+            (VALUES (0, 'Total Tx Nameplate Capacity'), (1, 'Existing Tx Capacity')) AS t(k, Tx_type)"""),
+    ),
     "duration_curve": (
         q_duration_curve,
         with_sql("balance points series", """SELECT Scenario, ts_period, timestamp, row_number() OVER (PARTITION BY Scenario, ts_period ORDER BY abs(demand) DESC, timestamp) AS counter,
