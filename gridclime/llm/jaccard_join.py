@@ -35,6 +35,8 @@ SMALL = 32
 PIVOTS = 8
 #: Points of a block of a region.
 BLOCK = 1000
+#: Bytes of sets or shingles that a task holds before it sends them on.
+FLUSH = 4 << 20
 #: Bits of the filter of frequent shingles (16 MB), of which an eighth is set at most.
 FREQUENT_BITS = 1 << 27
 
@@ -100,15 +102,19 @@ def first_shingles(docs: DataFrame, width: int, num: int, den: int, order: np.nd
     """(shingle, point, info): the shingles of which two linked points share one; info has n, place and whether frequent."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shingle", "point", "info"]
         for batch in batches:
             known: set[int] = set()
-            shingle, point, info = [], [], []
+            shingle, point, info, held = [], [], [], 0
             for _, s in _sets(batch, width):
                 n = len(s)
                 p = _point(s) if n else 0
                 if not n or p in known:
                     continue
                 known.add(p)
+                if held > FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shingle, point, info)], names)
+                    shingle, point, info, held = [], [], [], 0
                 hot = in_filter(order, s)
                 k = n - -(-num * n // den) + 1
                 chosen = np.concatenate([s[~hot], s[hot]])[:k]
@@ -116,10 +122,9 @@ def first_shingles(docs: DataFrame, width: int, num: int, den: int, order: np.nd
                 point.append(np.full(k, p, np.int64))
                 place = np.arange(k, dtype=np.int64)
                 info.append((n << 32) | (place << 1) | (place >= n - int(hot.sum())))
+                held += 24 * k
             if shingle:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (shingle, point, info)], ["shingle", "point", "info"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shingle, point, info)], names)
 
     return docs.mapInArrow(one, "shingle long, point long, info long")
 
@@ -191,20 +196,31 @@ def point_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
     """(point, shingles as packed 64-bit numbers) of the points that the filter lets pass."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(own: dict[int, bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["point", "shingles"]
+            )
+
         for batch in batches:
-            own: dict[int, bytes] = {}
+            known, own, held = set(), {}, 0
             for _, s in _sets(batch, width):
-                if len(s) and in_filter(wanted, np.array([p := _point(s)]))[0] and p not in own:
+                if len(s) and in_filter(wanted, np.array([p := _point(s)]))[0] and p not in known:
+                    known.add(p)
                     own[p] = s.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["point", "shingles"]
-            )
+                    held += 8 * len(s)
+                if held > FLUSH:
+                    yield sent(own)
+                    own, held = {}, 0
+            yield sent(own)
 
     return docs.mapInArrow(one, "point long, shingles binary").dropDuplicates(["point"])
 
 
-def measure(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, common, nx, ny, linked) of pairs (x, y), counted on the whole sets."""
+def measure(pairs: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables, name: str = "") -> DataFrame:
+    """(x, y, common, either, linked) of saved pairs (x, y), counted on the whole sets.
+
+    Only sets that the pairs need are moved: their points are written first, so Spark knows how many there are.
+    """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,6 +239,8 @@ def measure(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 ["x", "y", "common", "either", "linked"],
             )
 
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("point")).distinct()
+    sets = sets.join(tables.save(needed, f"needed{name}"), "point", "left_semi")
     x = sets.select(F.col("point").alias("x"), F.col("shingles").alias("sx"))
     y = sets.select(F.col("point").alias("y"), F.col("shingles").alias("sy"))
     both = pairs.join(x, "x").join(y, "y").select("x", "y", "sx", "sy")
@@ -317,7 +335,8 @@ def join_regions(cells: DataFrame, sets: DataFrame, tables: Tables, num: int, de
         "main", "point", "component", F.lit(1).alias("role"),
         F.explode(F.expr("sequence(0L, outers - 1L)")).alias("a"), F.pmod(part, F.col("wholes")).alias("b"),
     )
-    blocks = outer.union(whole).join(sets, "point")
+    needed = tables.save(rows.select("point").distinct(), "region_points")
+    blocks = outer.union(whole).join(sets.join(needed, "point", "left_semi"), "point")
     found = blocks.groupBy("main", "a", "b").applyInArrow(one, "x long, y long")
     return tables.save(found, "outer_links")
 
@@ -340,7 +359,8 @@ def divide(large: DataFrame, links: DataFrame, sets: DataFrame, tables: Tables,
         heads = tables.save(heads.select("shingle", "slot", "p.*"), f"pivots{k}")
         pairs = _side(cells, "x").join(_side(heads, "y"), "shingle").where(_allowed(num, den))
         pairs = pairs.select(F.least("xpoint", "ypoint").alias("x"), F.greatest("xpoint", "ypoint").alias("y")).distinct()
-        d = tables.save(measure(pairs, sets, num, den), f"distances{k}")
+        pairs = tables.save(pairs, f"pairs{k}")
+        d = tables.save(measure(pairs, sets, num, den, tables, str(k)), f"distances{k}")
         links = links.union(d.where("linked").select("x", "y"))
         # the distance to one of the cell's pivots makes the windows of the rounds that follow
         pivot = heads.groupBy("shingle").agg(F.min("point").alias("pivot"))
@@ -397,7 +417,8 @@ def jaccard_components(
     large = tables.save(large.join(several, "shingle"), "large")
     wanted = bit_filter(pairs.select("x").union(pairs.select("y")).union(large.select("point")), "x")
     sets = tables.save(point_sets(docs, width, wanted), "sets")
-    links = tables.save(measure(pairs, sets, num, den).where("linked").select("x", "y"), "links")
+    pairs = tables.save(pairs, "pairs")
+    links = tables.save(measure(pairs, sets, num, den, tables).where("linked").select("x", "y"), "links")
     roots = components(divide(large, links, sets, tables, num, den, rounds), tables, "end-")
     points = rows.where("n > 0").groupBy("point").agg(F.min("row").alias("least"))
     joined = roots.join(points, "point")
