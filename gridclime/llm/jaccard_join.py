@@ -5,7 +5,8 @@ share one of the first shingles of either in any fixed total order of the shingl
 of the first level. Shingles that many points have come last in that order, so that a passage which many documents
 share founds no cell of documents that have only it in common.
 
-A cell of few points is joined at once under bounds on sizes and positions. A larger one elects documents as pivots
+A cell of few points is joined at once under bounds on sizes and positions, and on what can be common at most by
+histograms of the hashes; only then are whole sets moved and compared. A larger one elects documents as pivots
 and measures every point's distance to them: points within the radius are linked to the pivot. By the triangle
 inequality two points can only be linked if their distances to a pivot differ by the radius at most; these windows
 bound what is compared from then on. Pivots leave their cell, and points that links have joined already need no
@@ -192,8 +193,47 @@ def small_cells(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(one, "kind int, a long, b long, c long")
 
 
-def point_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
-    """(point, shingles as packed 64-bit numbers) of the points that the filter lets pass."""
+def packed(s: np.ndarray) -> bytes:
+    return s.tobytes()
+
+
+def histogram(s: np.ndarray) -> bytes:
+    """How many shingles of the set fall into each of 2**k equal ranges of hashes, half as many ranges as shingles at
+    least; empty, which says nothing, where a range has more than a byte can count."""
+    bits = max(1, len(s).bit_length() - 1)
+    counts = np.bincount(s >> np.int64(63 - bits), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles that two sets have in common at most, by their histograms; the finer one is folded to the coarser."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = x.reshape(len(y), -1).sum(axis=1, dtype=np.int64)
+    return int(np.minimum(x, y).sum())
+
+
+def plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) whose histograms do not rule out that they are linked."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(len(b), bool)
+            for i, (p, q) in enumerate(zip(b.column(2), b.column(3))):
+                u, v = (np.frombuffer(z.as_buffer(), np.uint8) for z in (p, q))
+                if len(u) and len(v):
+                    c, either = most_common(u, v), int(u.sum(dtype=np.int64)) + int(v.sum(dtype=np.int64))
+                    keep[i] = den * c >= num * (either - c)
+            yield b.select(["x", "y"]).filter(pa.array(keep))
+
+    x = marks.select(F.col("point").alias("x"), F.col("shingles").alias("sx"))
+    y = marks.select(F.col("point").alias("y"), F.col("shingles").alias("sy"))
+    both = pairs.join(x, "x").join(y, "y").select("x", "y", "sx", "sy")
+    return both.mapInArrow(one, "x long, y long")
+
+
+def point_sets(docs: DataFrame, width: int, wanted: np.ndarray, pack=packed) -> DataFrame:
+    """(point, shingles as packed 64-bit numbers, or what else ``pack`` makes of a set) of the points that the filter lets pass."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(own: dict[int, bytes]) -> pa.RecordBatch:
@@ -206,8 +246,8 @@ def point_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
             for _, s in _sets(batch, width):
                 if len(s) and in_filter(wanted, np.array([p := _point(s)]))[0] and p not in known:
                     known.add(p)
-                    own[p] = s.tobytes()
-                    held += 8 * len(s)
+                    own[p] = pack(s)
+                    held += len(own[p])
                 if held > FLUSH:
                     yield sent(own)
                     own, held = {}, 0
@@ -415,9 +455,12 @@ def jaccard_components(
     ).dropDuplicates(["shingle", "point"])
     several = large.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle")
     large = tables.save(large.join(several, "shingle"), "large")
+    pairs = tables.save(pairs, "pairs")
+    marks = point_sets(docs, width, bit_filter(pairs.select("x").union(pairs.select("y")), "x"), histogram)
+    pairs = tables.save(plausible(pairs, tables.save(marks, "histograms"), num, den), "plausible")
+    tables.drop("cells")
     wanted = bit_filter(pairs.select("x").union(pairs.select("y")).union(large.select("point")), "x")
     sets = tables.save(point_sets(docs, width, wanted), "sets")
-    pairs = tables.save(pairs, "pairs")
     links = tables.save(measure(pairs, sets, num, den, tables).where("linked").select("x", "y"), "links")
     roots = components(divide(large, links, sets, tables, num, den, rounds), tables, "end-")
     points = rows.where("n > 0").groupBy("point").agg(F.min("row").alias("least"))
