@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import Tables
+from .store import Tables, tasks_for
 
 WEIGHTS = (5, 2, 1)
 #: Words of a block.
@@ -183,7 +183,9 @@ def mix(
             number, k, n = number.to_numpy(), k.to_numpy(), n.to_numpy()
             yield pd.Series(permute(k % n, n, table[number, k // n]))
 
-    slots = spark.createDataFrame(draws, "shard long, number long, k long, n long").repartition("shard", "number")
+    slots = spark.createDataFrame(draws, "shard long, number long, k long, n long")
+    # a row opens into up to shard_slots slots: a count of its own, which Spark does not merge
+    slots = slots.repartition(tasks_for(spark, len(draws)), "shard", "number")
     slots = slots.select("shard", "number", F.explode(F.expr("sequence(k, k + n - 1)")).alias("k"))
     slots = slots.join(about.select("number", "blocks", "slots", "cut"), "number")
     slots = slots.withColumn("index", block_of("number", "k", "blocks")).select(

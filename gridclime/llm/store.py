@@ -30,6 +30,11 @@ class Tables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tasks_for(spark: SparkSession, pieces: int) -> int:
+    """Tasks for so many pieces of work: one each, up to four for every core."""
+    return max(1, min(pieces, 4 * spark.sparkContext.defaultParallelism))
+
+
 def bit_filter(keys: DataFrame, key: str, bits: int = 1 << 23) -> np.ndarray:
     """A bit for each (key mod bits) among the 64-bit hashes ``key``, packed; bits/8 bytes whatever the number of keys.
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Tables
+from .store import Tables, tasks_for
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range that one task reads.
@@ -110,7 +110,9 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, split: int
     """
     ranges = files.select(
         "path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split}L)")).alias("start")
-    ).repartition("path", "start")
+    )
+    # rows of a few bytes that open into whole archives: a count of their own, which Spark does not merge
+    ranges = ranges.repartition(tasks_for(spark, ranges.count()), "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(folder)
