@@ -184,10 +184,10 @@ def mix(
             yield pd.Series(permute(k % n, n, table[number, k // n]))
 
     slots = spark.createDataFrame(draws, "shard long, number long, k long, n long")
+    slots = slots.join(about.select("number", "blocks", "slots", "cut"), "number")
     # a row opens into up to shard_slots slots: a count of its own, which Spark does not merge
     slots = slots.repartition(tasks_for(spark, len(draws)), "shard", "number")
-    slots = slots.select("shard", "number", F.explode(F.expr("sequence(k, k + n - 1)")).alias("k"))
-    slots = slots.join(about.select("number", "blocks", "slots", "cut"), "number")
+    slots = slots.withColumn("k", F.explode(F.expr("sequence(k, k + n - 1)")))
     slots = slots.withColumn("index", block_of("number", "k", "blocks")).select(
         "shard", "number", "k", "index", (F.col("k") / F.col("blocks")).cast("int").alias("pass"),
         F.when(F.col("k") == F.col("slots") - 1, F.col("cut")).otherwise(F.lit(block)).alias("words"),
