@@ -13,11 +13,21 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 
 
+ARROW_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts are long rows: so many of them at a time bound what a task and its Python worker hold of them.
+ROWS_A_BATCH = 1000
+
+
 class Tables:
-    """Parquet tables below one new folder of the shared folder; each ends the lineage of what made it."""
+    """Parquet tables below one new folder of the shared folder; each ends the lineage of what made it.
+
+    Where the session has Spark's own number of rows in an Arrow batch, it is lowered to ROWS_A_BATCH.
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
+        if spark.conf.get(ARROW_BATCH) == "10000":
+            spark.conf.set(ARROW_BATCH, ROWS_A_BATCH)
         self.root = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

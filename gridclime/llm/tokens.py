@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 class _Powers:
