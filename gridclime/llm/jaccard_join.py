@@ -36,6 +36,8 @@ SMALL = 32
 PIVOTS = 8
 #: Points of a block of a region.
 BLOCK = 1000
+#: Shingles of a stretch of rows, among which a task looks for repeated ones.
+STRETCH = 1_000_000
 #: Bytes of sets or shingles that a task holds before it sends them on.
 FLUSH = 4 << 20
 #: Bits of the filter of frequent shingles (16 MB), of which an eighth is set at most.
@@ -82,7 +84,7 @@ def describe(docs: DataFrame, width: int, local: int = 2) -> DataFrame:
                 if len(s) and p not in seen:
                     seen[p] = s
                     held += len(s)
-                if held > 2_000_000:
+                if held > STRETCH:
                     yield frequent()
                     seen, held = {}, 0
             yield pa.RecordBatch.from_arrays(

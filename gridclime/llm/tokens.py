@@ -65,6 +65,7 @@ class Tokens(NamedTuple):
 
 def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, row offsets in them) of about chunk_bytes each; a longer text is a chunk of its own."""
+    pa.default_memory_pool().release_unused()  # what the batch before left with the worker
     if column.null_count:
         column = pc.fill_null(column, "")
     if pa.types.is_large_string(column.type):
