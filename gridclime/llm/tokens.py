@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -63,9 +64,17 @@ class Tokens(NamedTuple):
     bounds: np.ndarray
 
 
+def release() -> None:
+    """Give what earlier batches freed back to the system; a Python worker lives on when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, row offsets in them) of about chunk_bytes each; a longer text is a chunk of its own."""
-    pa.default_memory_pool().release_unused()  # what the batch before left with the worker
+    release()
     if column.null_count:
         column = pc.fill_null(column, "")
     if pa.types.is_large_string(column.type):
