@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,11 @@ WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 128
 #: Slots of an output shard.
 SHARD_SLOTS = 8192
+#: Figures of a source.
+ABOUT = pa.schema([
+    ("number", pa.int64()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()),
+    ("blocks", pa.int64()), ("slots", pa.int64()), ("cut", pa.int64()),
+])
 
 
 def word_count(text: Column) -> Column:
@@ -171,9 +177,10 @@ def mix(
     counts = shard_counts(p.slots.to_numpy(), shard_slots, seed)
     shard, number = np.nonzero(counts)
     start = np.cumsum(counts, axis=0) - counts
-    draws = pd.DataFrame({"shard": shard, "number": number, "k": start[shard, number], "n": counts[shard, number]})
+    # Arrow tables become rows without Python workers; those of an RDD would be others than the UDF's, and stay beside them
+    draws = pa.table({"shard": shard, "number": number, "k": start[shard, number], "n": counts[shard, number]})
     about = [(int(r.number), r.source, int(r.source_size), float(r.target), int(r.blocks), int(r.slots), int(r.cut)) for r in p.itertuples()]
-    about = spark.createDataFrame(about, "number long, source string, source_size long, target double, blocks long, slots long, cut long")
+    about = spark.createDataFrame(pa.Table.from_pylist([dict(zip(ABOUT.names, r)) for r in about], ABOUT))
     keys = {int(r.number): [source_key(r.source, e, seed) for e in range(int(most) + 1)] for r in p.itertuples()}
 
     @F.pandas_udf("long")
@@ -183,7 +190,9 @@ def mix(
             number, k, n = number.to_numpy(), k.to_numpy(), n.to_numpy()
             yield pd.Series(permute(k % n, n, table[number, k // n]))
 
-    slots = spark.createDataFrame(draws, "shard long, number long, k long, n long")
+    # else Spark evaluates it once more, in a second worker of each task, for the filter that it derives from the join
+    block_of = block_of.asNondeterministic()
+    slots = spark.createDataFrame(draws)
     slots = slots.join(about.select("number", "blocks", "slots", "cut"), "number")
     # a row opens into up to shard_slots slots: a count of its own, which Spark does not merge
     slots = slots.repartition(tasks_for(spark, len(draws)), "shard", "number")

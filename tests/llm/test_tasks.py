@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridclime.llm import warc
+from gridclime.llm import mixing, warc
 from gridclime.llm.store import tasks_for
 
 
@@ -16,3 +16,14 @@ def test_archives_are_read_by_many_tasks(spark):
 def test_one_task_for_each_piece_up_to_four_a_core(spark):
     most = 4 * spark.sparkContext.defaultParallelism
     assert [tasks_for(spark, n) for n in (0, 1, 3, most + 5)] == [1, 1, 3, most]
+
+
+def test_the_mix_takes_one_python_worker_a_task(spark):
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat('word ', cast(id * 7 as int)) as text", "nullif(concat('s', id % 3), 's2') as source")
+    documents, mixed = mixing.mix(docs, block=16, shard_slots=32)
+    for df in (documents, mixed):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        assert "ExistingRDD" not in plan  # rows of an RDD that Python makes come from workers of their own
+    taken = {r.source: (r.n, r.target) for r in documents.groupBy("source").agg({"taken": "sum", "target": "first"}).toDF("source", "n", "target").collect()}
+    assert taken.keys() == {"s0", "s1", None} and all(n == round(target) > 0 for n, target in taken.values())
