@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 128
 #: Slots of an output shard.
 SHARD_SLOTS = 8192
+#: Rows of draws that the driver holds at a time.
+DRAWS_EACH = 1 << 18
 #: Figures of a source.
 ABOUT = pa.schema([
     ("number", pa.int64()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()),
@@ -72,9 +74,9 @@ def source_key(source: str | None, epoch: int, seed: int) -> int:
     return int(pd.util.hash_array(np.array([f"{seed}/{epoch}/{text}"], object))[0] >> np.uint64(1))
 
 
-def shard_counts(slots: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
-    """Slots of each source in each shard: multinomial draws by what each source has left, and never more than that."""
-    left, rows = slots.astype(np.int64).copy(), []
+def shard_counts(slots: np.ndarray, shard_slots: int, seed: int) -> Iterator[np.ndarray]:
+    """Slots of each source, shard by shard: multinomial draws by what each source has left, and never more than that."""
+    left = slots.astype(np.int64)
     random = np.random.default_rng(seed)
     while (total := int(left.sum())) > 0:
         n = min(shard_slots, total)
@@ -82,9 +84,27 @@ def shard_counts(slots: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
         while (need := n - int(draw.sum())) > 0:
             rest = left - draw
             draw += np.minimum(random.multinomial(need, rest / rest.sum()), rest)
-        rows.append(draw)
-        left -= draw
-    return np.array(rows, np.int64).reshape(len(rows), len(slots))
+        yield draw
+        left = left - draw
+
+
+def draw_tables(counts: Iterator[np.ndarray], sources: int, rows_each: int = DRAWS_EACH) -> Iterator[pa.Table]:
+    """Rows (shard, number, k, n): n slots of a source, from its k-th on, are in a shard. Tables of about ``rows_each``, one at least."""
+    parts, held, start = [], 0, np.zeros(sources, np.int64)
+
+    def joined() -> pa.Table:
+        columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4)]
+        return pa.table(dict(zip(("shard", "number", "k", "n"), columns)))
+
+    for shard, draw in enumerate(counts):
+        number = np.flatnonzero(draw)
+        if held and held + len(number) > rows_each:
+            yield joined()
+            parts, held = [], 0
+        parts.append((np.full(len(number), shard), number, start[number], draw[number]))
+        held += len(number)
+        start += draw
+    yield joined()
 
 
 def place_words(docs: DataFrame, tables: Tables, rows_each: int = 4000) -> DataFrame:
@@ -135,7 +155,7 @@ def _words(k: int, order_of_last: int, block: int, short: int) -> int:
     return k * block - (block - short) * (k > order_of_last)
 
 
-def _slot_of(index: int, n: int, key: int, step: int = 1 << 20) -> int:
+def _slot_of(index: int, n: int, key: int, step: int = 1 << 16) -> int:
     """The slot that the permutation maps to a block."""
     for first in range(0, n, step):
         k = np.arange(first, min(n, first + step))
@@ -174,11 +194,9 @@ def mix(
     p = plan(sizes, weights, share, most, block, seed)
     rows = tables.save(place_words(rows, tables).withColumn("row", F.monotonically_increasing_id()), "placed")
 
-    counts = shard_counts(p.slots.to_numpy(), shard_slots, seed)
-    shard, number = np.nonzero(counts)
-    start = np.cumsum(counts, axis=0) - counts
     # Arrow tables become rows without Python workers; those of an RDD would be others than the UDF's, and stay beside them
-    draws = pa.table({"shard": shard, "number": number, "k": start[shard, number], "n": counts[shard, number]})
+    counts = shard_counts(p.slots.to_numpy(), shard_slots, seed)
+    draws = tables.save_parts((spark.createDataFrame(t) for t in draw_tables(counts, len(p))), "draws")
     about = [(int(r.number), r.source, int(r.source_size), float(r.target), int(r.blocks), int(r.slots), int(r.cut)) for r in p.itertuples()]
     about = spark.createDataFrame(pa.Table.from_pylist([dict(zip(ABOUT.names, r)) for r in about], ABOUT))
     keys = {int(r.number): [source_key(r.source, e, seed) for e in range(int(most) + 1)] for r in p.itertuples()}
@@ -192,10 +210,9 @@ def mix(
 
     # else Spark evaluates it once more, in a second worker of each task, for the filter that it derives from the join
     block_of = block_of.asNondeterministic()
-    slots = spark.createDataFrame(draws)
-    slots = slots.join(about.select("number", "blocks", "slots", "cut"), "number")
+    slots = draws.join(about.select("number", "blocks", "slots", "cut"), "number")
     # a row opens into up to shard_slots slots: a count of its own, which Spark does not merge
-    slots = slots.repartition(tasks_for(spark, len(draws)), "shard", "number")
+    slots = slots.repartition(tasks_for(spark, draws.count()), "shard", "number")
     slots = slots.withColumn("k", F.explode(F.expr("sequence(k, k + n - 1)")))
     slots = slots.withColumn("index", block_of("number", "k", "blocks")).select(
         "shard", "number", "k", "index", (F.col("k") / F.col("blocks")).cast("int").alias("pass"),
@@ -208,7 +225,8 @@ def mix(
     pieces = pieces.withColumn("from", F.greatest(F.lit(0), F.col("at") - F.col("index") * block)).withColumn(
         "to", F.least(F.lit(block), F.col("at") + F.col("size") - F.col("index") * block)
     )
-    mixed = pieces.join(slots, ["number", "index"]).withColumn("to", F.least("to", "words")).where("to > from")
+    # Spark takes both sides for as small as they are before explode, and would send all slots through the driver
+    mixed = pieces.join(slots.hint("merge"), ["number", "index"]).withColumn("to", F.least("to", "words")).where("to > from")
     taken = mixed.groupBy("row").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
     facts = about.select(F.col("source").alias("s"), "source_size", "target")
     documents = (
