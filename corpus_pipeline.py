@@ -91,12 +91,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = tables.save(documents.select(figures), "taken")
     again = tables.save(taken.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "again")
     rows = rows.select(key, *names)
-    once = rows.join(again, key, "left_anti").join(taken.join(again, key, "left_anti"), key)
+    # a row of figures for each document, which Spark takes for as small as its file: too much for the driver
+    once = rows.join(again, key, "left_anti").join(taken.join(again, key, "left_anti").hint("merge"), key)
     if again.head(1):
         number = F.row_number().over(Window.partitionBy(key).orderBy(key)).alias("row_number_")
         many = rows.join(again, key, "left_semi").select("*", number)
         dealt = taken.join(again, key, "left_semi").select("*", number)
-        once = once.unionByName(many.join(dealt, [key, "row_number_"]).drop("row_number_"))
+        once = once.unionByName(many.join(dealt.hint("merge"), [key, "row_number_"]).drop("row_number_"))
     return once.where("taken > 0").select(*names, *figures[1:])
 
 

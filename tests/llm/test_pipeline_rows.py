@@ -77,3 +77,11 @@ def test_mixture_gives_each_row_its_own_words(spark, docs):
 def test_keys_tell_nulls_from_empty_texts(spark):
     rows, key = cp.keyed(frame(spark, [(None, "a", "b"), (1, "a", "b"), (1, None, "b"), (1, "", "b"), (1, "a", None), (1, "a", "")]))
     assert key == "row_key_" and rows.select(key).distinct().count() == 6
+
+
+def test_mixture_does_not_broadcast_a_row_for_each_document(spark):
+    out = cp.mixture(spark, frame(spark, ROWS), "")
+    assert out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [row_key_#" in line and "Inner" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
